@@ -70,7 +70,7 @@ SQL["p3_found"] = " UNION ALL ".join(
     rf"""SELECT '{t}' AS source_table, source_key, '{f}' AS field_name, CAST(value_position AS INTEGER) AS value_position, field_value FROM (
   SELECT source_key, unnest(parts) AS field_value, generate_subscripts(parts, 1) AS value_position FROM (
     SELECT source_key, list_filter(list_transform(string_split(regexp_replace(chr(10) || packed, '(?:\s+/\s+|[;,|、；\s\[\]{{}}()"''])+({_VALUE[s]})', chr(1) || '\1', 'g'), chr(1)),
-             x -> regexp_replace(x, '[;,|、；\s\[\]{{}}()"'']+$', '')), x -> regexp_matches(x, '^{_VALUE[s]}')) AS parts
+             lambda x: regexp_replace(x, '[;,|、；\s\[\]{{}}()"'']+$', '')), lambda x: regexp_matches(x, '^{_VALUE[s]}')) AS parts
     FROM (SELECT DISTINCT {k} AS source_key, {f} AS packed FROM {t} WHERE {f} IS NOT NULL)))"""
     for t, k, f, s in PACKED
 )

@@ -68,24 +68,30 @@ def cut(df: DataFrame) -> DataFrame:
     return Cut(df).df
 
 
-def hot_keys(df: DataFrame, key: str, share: int = 256) -> list:
-    """Keys that hold more than one in `share` of all rows: fewer than `share` values, whatever the size of df."""
+#: A key with fewer rows than this is never treated as hot.
+HOT_ROWS = 10_000
+
+
+def hot_keys(df: DataFrame, key: str, share: int = 256, rows: int | None = None) -> list:
+    """Keys that hold more than one in `share` of all rows (and over HOT_ROWS): fewer than `share` values, whatever the size of df."""
+    total = df.count() if rows is None else rows
+    if total <= HOT_ROWS:
+        return []
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_all"))
-    rows = counts.crossJoin(F.broadcast(total)).where(F.col("_n") * share > F.col("_all")).where(F.col("_n") > 10_000).select(key).collect()
-    return [r[0] for r in rows]
+    return [r[0] for r in counts.where(F.col("_n") > max(HOT_ROWS, total // share)).select(key).collect()]
 
 
-def join_on_unique(many: DataFrame, one: DataFrame, key: str, how: str = "inner", salts: int = 32, hot: list | None = None) -> DataFrame:
+def join_on_unique(many: DataFrame, one: DataFrame, key: str, how: str = "inner", salts: int = 32, rows: int | None = None) -> DataFrame:
     """Joins rows to a side that has each key once; rows of hot keys are spread over `salts` copies of that key's row.
 
-    Rows with a null key find no partner. `one` is never broadcast by a hint.
+    The salt is a hash of the row, so a task that runs again sends each row where it went before. Rows with a null key find
+    no partner. `one` is never broadcast by a hint. rows: the row count of `many` where it is known.
     """
-    hot = hot_keys(many, key) if hot is None else hot
+    hot = hot_keys(many, key, rows=rows)
     if not hot:
         return many.join(one, key, how)
     is_hot = F.col(key).isin(hot)
-    left = many.withColumn("_salt", F.when(is_hot, F.floor(F.rand(17) * salts).cast("int")).otherwise(F.lit(0)))
+    left = many.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*many.columns), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
     right = one.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
@@ -99,4 +105,4 @@ def fingerprint(df: DataFrame, *cols: str) -> tuple[int, int]:
 def words(text: Column | str) -> Column:
     """Runs of letters and digits in lower case, in order; null text gives an empty list."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.expr("regexp_extract_all({}, '[\\\\p{{L}}\\\\p{{N}}]+', 0)".format("lower(coalesce(`{}`, ''))".format(text))) if isinstance(text, str) else F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
