@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from vellumark.llm.components import match_groups
 from vellumark.llm.consistent import with_consistent
-from vellumark.tables import load
+from vellumark.llm.garbled import Garbled
+from vellumark.llm.leaks import leaked
+from vellumark.llm.mixture import Mixture
+from vellumark.llm.overlap import Overlaps, sides
+from vellumark.llm.pairs import defects, project_pairs
+from vellumark.llm.splits import assign_splits, related_records, split_report
+from vellumark.tables import cut, load
 
 TEXTS = ["claim", "shown_claim", "generated_explanation"]
 
@@ -29,7 +35,90 @@ def p6_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_consistent(load(spark, sf_dir, "predictions", "prediction_id", *TEXTS), TEXTS).select("prediction_id", *(c + "_consistent" for c in TEXTS))
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_consistent": p6_consistent}
+def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return related_records(load(spark, sf_dir, "predictions", "record_index", "claim", "evidence"), load(spark, sf_dir, "split_result", "group_by_index"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of every record tied to another one by evidence, declared group or claim."""
+    return _related(spark, sf_dir)
+
+
+def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record's split: 70 % train, 15 % validation, 15 % test, groups undivided."""
+    return assign_splits(load(spark, sf_dir, "predictions", "record_index", "true_label"), cut(_related(spark, sf_dir)), "record_index", "true_label")
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and shares of the splits, overall and per label."""
+    records = load(spark, sf_dir, "predictions", "record_index", "true_label")
+    return split_report(cut(assign_splits(records, cut(_related(spark, sf_dir)), "record_index", "true_label")), records, "record_index", "true_label")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every faulty pair of prompt and response with its defect."""
+    pairs = project_pairs(
+        load(spark, sf_dir, "answers", "key", "response"),
+        load(spark, sf_dir, "responses_used", "key", "prompt", "answer"),
+        load(spark, sf_dir, "predictions", "prediction_id", "stages", "claim", "generated_explanation", "language"),
+    )
+    return defects(pairs, {"answers": True, "responses_used": True})
+
+
+def _overlaps(spark: SparkSession, sf_dir: str) -> Overlaps:
+    return Overlaps(load(spark, sf_dir, "predictions", "record_index", "claim"), load(spark, sf_dir, "split_result", "train_indices", "validation_indices"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a train and a validation record with the same or nearly the same claim."""
+    return _overlaps(spark, sf_dir).found()
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation records per cohort, how many overlap with train records, and their mean coverage."""
+    over = _overlaps(spark, sf_dir).coverage()
+    val = sides(load(spark, sf_dir, "split_result", "train_indices", "validation_indices")).where("in_validation").select("record_index")
+    cohort = load(spark, sf_dir, "predictions", "record_index", "cohort").where("cohort is not null").groupBy("record_index").agg(F.min("cohort").alias("cohort"))
+    return val.join(cohort, "record_index").join(over, "record_index", "left").groupBy("cohort").agg(
+        F.count(F.lit(1)).alias("n_validation"), F.count("coverage").alias("n_overlapping"), F.round(F.avg("coverage"), 6).alias("mean_coverage")
+    )
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share twelve consecutive words or more with a held-out item."""
+    return leaked(load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "heldout_items", "item_id", "text")).select("doc_id", "item_id").distinct()
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each leaked item with the number of documents that hold it."""
+    return p8_found(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source in every mixture."""
+    return Mixture(load(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"), load(spark, sf_dir, "mixture_targets")).shares()
+
+
+def p9_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn for every mixture and how often each is repeated."""
+    return Mixture(load(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"), load(spark, sf_dir, "mixture_targets")).drawn()
+
+
+def _garbled(spark: SparkSession, sf_dir: str) -> Garbled:
+    return Garbled(load(spark, sf_dir, "documents", "doc_id", "text", "source"), "doc_id", ["text"], "source")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that were decoded wrongly, wholly or in places."""
+    return _garbled(spark, sf_dir).found().select("doc_id").distinct()
+
+
+def p10_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled documents with their chain of encodings and the text restored."""
+    return _garbled(spark, sf_dir).repaired().select("doc_id", "chain", "restored")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p2_report, p5_found, p6_found, p6_consistent, p7_found, p7_report, p8_found, p8_items, p9_shares, p9_drawn, p10_found, p10_repaired)}
 
 SQL = {
     "p1_found": """WITH RECURSIVE known AS (SELECT DISTINCT record_index AS r FROM predictions),
