@@ -74,16 +74,32 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _class(chars: str) -> str:
+    """The characters as a bracket expression, runs as ranges."""
+    points = sorted({ord(c) for c in chars})
+    runs: list[list[int]] = []
+    for p in points:
+        if runs and p == runs[-1][1] + 1:
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+    return "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in runs) + "]"
+
+
 @functools.cache
 def consistent_sql(column: str) -> str:
-    """A DuckDB expression for the consistent form of a column (or of any expression)."""
+    """A DuckDB expression for the consistent form of a column, look-alike letters aside.
+
+    translate reads its long lists anew for each row, so only rows that hold one of their characters reach it.
+    """
     source, target, several = compatibility()
     gone = "".join(map(chr, INVISIBLE))
+    ligatures = [(c, plain) for c, plain in several if len(plain) <= 3 and plain.isalpha()]
     text = f"translate({column}, {_quoted(source + gone)}, {_quoted(target)})"
-    for c, plain in several:
-        if len(plain) <= 3 and plain.isalpha():  # ligatures
-            text = f"replace({text}, {_quoted(c)}, {_quoted(plain)})"
-    return f"nfc_normalize({text})"
+    for c, plain in ligatures:
+        text = f"replace({text}, {_quoted(c)}, {_quoted(plain)})"
+    held = _class(source + gone + "".join(c for c, _ in ligatures))
+    return f"nfc_normalize(CASE WHEN regexp_matches({column}, '{held}') THEN {text} ELSE {column} END)"
 
 
 def _words_sql(text: str) -> str:
@@ -128,9 +144,19 @@ def normalise_batch(con, batch: pa.RecordBatch, columns: list[str], suffix: str)
 
 @functools.cache
 def _texts_query() -> str:
-    two = "(regexp_matches(p, '[\\p{Cyrillic}\\p{Greek}]') AND regexp_matches(p, '\\p{Latin}') OR regexp_matches(p, '\\p{Cyrillic}') AND regexp_matches(p, '\\p{Greek}'))"
+    """SQL over the view `batch` (t, i): the consistent form n of each text t, in the order of i.
+
+    Words are looked at one by one only in texts where letters of two scripts touch, or where a whole word consists of look-alikes of
+    the text's main script.
+    """
     plain = f"CASE WHEN regexp_matches(t, '^[\\x00-\\x7F]*$') THEN t ELSE {consistent_sql('t')} END"
-    return f"SELECT CASE WHEN {two} THEN {_words_sql('p')} ELSE p END AS n FROM (SELECT i, {plain} AS p FROM batch) ORDER BY i"
+    scripts = ("Latin", "Cyrillic", "Greek")
+    touch = "|".join(f"\\p{{{a}}}\\p{{M}}*[{''.join(f'\\p{{{b}}}' for b in scripts if b != a)}]" for a in scripts)
+    alone = lambda like: f"(?:^|[^\\p{{L}}\\p{{M}}]){_class(like)}+(?:[^\\p{{L}}\\p{{M}}]|$)"
+    count = lambda script: f"length(regexp_replace(p, '[^\\p{{{script}}}]', '', 'g'))"
+    odd = f"""(regexp_matches(p, '{touch}') OR CASE WHEN NOT regexp_matches(p, '[\\p{{Cyrillic}}\\p{{Greek}}]') THEN false
+      WHEN {count('Cyrillic')} > {count('Latin')} THEN regexp_matches(p, '{alone(LATIN_LIKE)}') ELSE regexp_matches(p, '{alone(CYRILLIC_LIKE + GREEK_LIKE)}') END)"""
+    return f"SELECT CASE WHEN {odd} THEN {_words_sql('p')} ELSE p END AS n FROM (SELECT i, {plain} AS p FROM batch) ORDER BY i"
 
 
 def connect():
