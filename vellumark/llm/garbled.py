@@ -39,7 +39,9 @@ UTF8_ODDS, SINGLE_ODDS = 1.0, 5.0
 MORE_OFTEN = 5
 LOST_RATIO = 12.0
 PSEUDO_RECORDS = 20.0
-TOKEN = re.compile("[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
+#: A word that isn't plain ASCII; tried at beginnings of words only.
+TOKEN = re.compile("(?<![^ \t\r\n])[^ \t\r\n\x80-\U0010ffff]*+[^\x00-\x7f][^ \t\r\n]*+")
+CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]")
 LOST = "�"
 
 # Encodings that UTF-8 bytes are read in, and pairs (true encoding, encoding read in) of single-byte texts.
@@ -144,7 +146,7 @@ class Characters:
         self.counts, self.words = counts, {}
 
     @staticmethod
-    @functools.cache
+    @functools.lru_cache(1 << 20)
     def bucket(gram: str) -> int:
         import xxhash
 
@@ -184,7 +186,7 @@ class Characters:
                 known.append(("lost", LOST_RATIO, word))
             for name, undo in chains().items():
                 back = undo(word)
-                if back == word or "\x00" in back:
+                if back == word or CONTROL.search(back):
                     continue
                 if not name.startswith("utf8") and self.seen(before, word, after) > self.seen(before, back, after) + MORE_OFTEN:
                     continue
@@ -199,29 +201,47 @@ class Characters:
         return known
 
 
-def _count(texts: DataFrame, model: Characters | None) -> np.ndarray:
-    """Hashed n-gram counts of all words that aren't plain ASCII, each weighed by the probability that it is clean."""
-    spark = texts.sparkSession
-    held = spark.sparkContext.broadcast(model.counts if model else None)
+def _places(texts: DataFrame) -> DataFrame:
+    """(before, word, after, n): every place of a word that isn't plain ASCII and how often it occurs in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
+        seen: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*seen, strict=True)) or [(), (), ()]
+            made = pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(seen.values(), pa.int64())], names=["before", "word", "after", "n"])
+            seen.clear()
+            return made
+
         for b in batches:
             for col in b.columns:
                 for t in col.to_pylist():
                     if t and not t.isascii():
-                        words.update(places(t))
+                        seen.update(places(t))
+            if len(seen) > 100_000:
+                yield out()
+        yield out()
+
+    return texts.mapInArrow(run, "before string, word string, after string, n long").groupBy("before", "word", "after").agg(F.sum("n").alias("n"))
+
+
+def _count(found: DataFrame, model: Characters | None) -> np.ndarray:
+    """Hashed n-gram counts of all places, each weighed by how often it occurs and by the probability that it is clean."""
+    held = found.sparkSession.sparkContext.broadcast(model.counts if model else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = Characters(held.value) if held.value is not None else None
         counts = np.zeros(BUCKETS)
-        for w, n in words.items():
-            if before is not None:
-                n /= 1 + math.exp(min(30.0, before.garbled_odds(w)))
-            for g in Characters.grams(*w):
-                counts[Characters.bucket(g)] += n
+        for b in batches:
+            for *place, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if before is not None:
+                    n /= 1 + math.exp(min(30.0, before.garbled_odds(tuple(place))))
+                for g in Characters.grams(*place):
+                    counts[Characters.bucket(g)] += n
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used], pa.float64())], names=["b", "n"])
 
-    sums = texts.mapInArrow(run, "b int, n double").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+    sums = found.repartition(found.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "b int, n double").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(BUCKETS)
     counts[sums["b"].to_numpy(int)] = sums["n"].to_numpy(float)
     return counts
@@ -235,9 +255,10 @@ class Garbled:
         self.table, self.key, self.fields = table, key, fields
         name = F.coalesce(F.col(source).cast("string"), F.lit("")) if source else F.lit("")
         self.rows = table.select(F.col(key).alias("_key"), name.alias("_source"), *(F.col(f).cast("string").alias(f) for f in fields))
-        texts, counts = self.rows.select(*fields), None
+        found, counts = Cut(_places(self.rows.select(*fields))), None
         for _ in range(MODEL_ROUNDS):
-            counts = _count(texts, Characters(counts) if counts is not None else None)
+            counts = _count(found.df, Characters(counts) if counts is not None else None)
+        found.drop()
         self.model = table.sparkSession.sparkContext.broadcast(counts)
         self.evidence = Cut(self._evidence()).df
         self.posterior = Cut(self._em()).df
