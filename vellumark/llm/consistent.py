@@ -102,8 +102,23 @@ def consistent_sql(column: str) -> str:
     return f"nfc_normalize(CASE WHEN regexp_matches({column}, '{held}') THEN {text} ELSE {column} END)"
 
 
+def _mainly_cyrillic(text: str) -> str:
+    """SQL: whether a text's own script is Cyrillic rather than Latin.
+
+    Letters without a look-alike count, in words that begin with a small letter (names may be in another script); where no such letter
+    tells, all letters do.
+    """
+
+    def count(part: str, script: str, like: str) -> str:
+        return f"length(regexp_replace(translate({part}, {_quoted(like)}, ''), '[^\\p{{{script}}}]', '', 'g'))"
+
+    small = f"regexp_replace({text}, '\\p{{Lu}}[\\p{{L}}\\p{{M}}]*', '', 'g')"
+    cyrillic, latin = count(small, "Cyrillic", CYRILLIC_LIKE), count(small, "Latin", LATIN_OF_CYRILLIC + LATIN_OF_GREEK)
+    return f"(CASE WHEN NOT regexp_matches({text}, '\\p{{Cyrillic}}') THEN false WHEN NOT regexp_matches({text}, '\\p{{Latin}}') THEN true WHEN {cyrillic} <> {latin} THEN {cyrillic} > {latin} ELSE {count(text, 'Cyrillic', '')} > {count(text, 'Latin', '')} END)"
+
+
 def _words_sql(text: str) -> str:
-    """SQL for `text` with the look-alikes of each word put into the word's own script.
+    """SQL for `text` with the look-alikes of each word put into the word's own script; `main` tells whether the text is Cyrillic.
 
     A word's own script is the one of which it has a letter without a look-alike (Latin first, then Cyrillic, then Greek); a
     word without such a letter follows the text. A word of one foreign script is changed only if all its letters are
@@ -117,8 +132,7 @@ def _words_sql(text: str) -> str:
     to_cyrillic = f"translate({greek_to_latin}, {_quoted(LATIN_LIKE)}, {_quoted(CYRILLIC_OF_LATIN)})"
     to_greek = f"translate(w, {_quoted(CYRILLIC_LIKE)}, {_quoted(LATIN_OF_CYRILLIC)})"
     to_greek = f"translate({to_greek}, {_quoted(LATIN_OF_GREEK)}, {_quoted(GREEK_LIKE)})"
-    count = lambda script: f"length(regexp_replace({text}, '[^\\p{{{script}}}]', '', 'g'))"
-    main = f"({count('Cyrillic')} > {count('Latin')})"
+    main = "main"
     mixed = f"({has('Latin')}::INT + {has('Cyrillic')}::INT + {has('Greek')}::INT) > 1"
     word = f"""CASE WHEN {mixed} THEN CASE WHEN {latin} THEN {to_latin} WHEN {cyrillic} THEN {to_cyrillic} WHEN {greek} THEN {to_greek}
         WHEN {main} AND NOT regexp_matches({to_cyrillic}, '\\p{{Latin}}') THEN {to_cyrillic} ELSE {to_latin} END
@@ -153,10 +167,9 @@ def _texts_query() -> str:
     scripts = ("Latin", "Cyrillic", "Greek")
     touch = "|".join(f"\\p{{{a}}}\\p{{M}}*[{''.join(f'\\p{{{b}}}' for b in scripts if b != a)}]" for a in scripts)
     alone = lambda like: f"(?:^|[^\\p{{L}}\\p{{M}}]){_class(like)}+(?:[^\\p{{L}}\\p{{M}}]|$)"
-    count = lambda script: f"length(regexp_replace(p, '[^\\p{{{script}}}]', '', 'g'))"
     odd = f"""(regexp_matches(p, '{touch}') OR CASE WHEN NOT regexp_matches(p, '[\\p{{Cyrillic}}\\p{{Greek}}]') THEN false
-      WHEN {count('Cyrillic')} > {count('Latin')} THEN regexp_matches(p, '{alone(LATIN_LIKE)}') ELSE regexp_matches(p, '{alone(CYRILLIC_LIKE + GREEK_LIKE)}') END)"""
-    return f"SELECT CASE WHEN {odd} THEN {_words_sql('p')} ELSE p END AS n FROM (SELECT i, {plain} AS p FROM batch) ORDER BY i"
+      WHEN main THEN regexp_matches(p, '{alone(LATIN_LIKE)}') ELSE regexp_matches(p, '{alone(CYRILLIC_LIKE + GREEK_LIKE)}') END)"""
+    return f"SELECT CASE WHEN {odd} THEN {_words_sql('p')} ELSE p END AS n FROM (SELECT i, p, {_mainly_cyrillic('p')} AS main FROM (SELECT i, {plain} AS p FROM batch)) ORDER BY i"
 
 
 def connect():
