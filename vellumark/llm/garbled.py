@@ -321,7 +321,8 @@ class Garbled:
     def repaired(self, least: float = 0.5) -> DataFrame:
         """(key, field, chain, text, restored): the garbled records with their text, repaired where the chain can be undone.
 
-        A word is replaced if it is more probable after undoing the record's chain; what is lost stays as it is.
+        Where the chain read UTF-8, every valid sequence is undone; where it read single bytes, a word is replaced if it is more probable
+        afterwards. What is lost stays as it is.
         """
         model, key_type = self.model, self.rows.schema["_key"].dataType.simpleString()
         long = self.rows.select("_key", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in self.fields))).alias("x"))
@@ -335,8 +336,15 @@ class Garbled:
                 for chain, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
 
                     def fix(m: re.Match, chain: str = chain, t: str = t) -> str:
-                        return next((back for c, _, back in chars.evidence(_place(t, m)) if c == chain), m.group())
-
+                        w = m.group()
+                        if chain.startswith("utf8"):  # valid sequences are undone wherever they stand, as many times as they can be
+                            for _ in range(steps):
+                                w = once(w)
+                            return w
+                        return next((back for c, _, back in chars.evidence(_place(t, m)) if c == chain), w)
+
+                    steps = 3 if chain.endswith("thrice") else 2 if chain.endswith("twice") else 1
+                    once = chains().get(chain.split(" ")[0], str)
                     out.append(TOKEN.sub(fix, t) if t else t)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=["_key", "field", "chain", "text", "restored"])
 
