@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from vellumark.tables import Cut
 
-BUCKETS = 1 << 19
+BUCKETS = 1 << 22
 #: Rounds of the character model, and of EM over the evidence.
 MODEL_ROUNDS, EM_ROUNDS = 4, 4
 #: Weight of the shorter context's estimate, in observations.
@@ -94,7 +94,7 @@ def _undo_utf8(codec: str) -> Callable[[str], str]:
 
 def _undo_single(true: str, read: str) -> Callable[[str], str]:
     was, shown = _high(true), _high(read)
-    table = str.maketrans({c: was[b] for b, c in shown.items()})
+    table = str.maketrans({c: was[b] for b, c in shown.items() if c not in "\xa0\xad"})  # these two also stand in clean words
     return lambda s: s.translate(table)
 
 
