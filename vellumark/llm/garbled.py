@@ -139,6 +139,18 @@ def _place(text: str, m: re.Match) -> tuple[str, str, str]:
     return "\x02" * (2 - len(before)) + before, m.group(), text[m.end() : m.end() + 2] + "\x03"
 
 
+def packed(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The table's filled buckets alone, as it is sent to the executors."""
+    used = np.flatnonzero(counts)
+    return used.astype(np.uint32), counts[used].astype(np.float32)
+
+
+def unpacked(filled: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    counts = np.zeros(BUCKETS, np.float32)
+    counts[filled[0]] = filled[1]
+    return counts
+
+
 class Characters:
     """Log probability of a word under hashed counts of its characters, pairs and triples; short contexts back up long ones."""
 
@@ -227,10 +239,10 @@ def _places(texts: DataFrame) -> DataFrame:
 
 def _count(found: DataFrame, model: Characters | None) -> np.ndarray:
     """Hashed n-gram counts of all places, each weighed by how often it occurs and by the probability that it is clean."""
-    held = found.sparkSession.sparkContext.broadcast(model.counts if model else None)
+    held = found.sparkSession.sparkContext.broadcast(packed(model.counts) if model else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = Characters(held.value) if held.value is not None else None
+        before = Characters(unpacked(held.value)) if held.value is not None else None
         counts = np.zeros(BUCKETS)
         for b in batches:
             for *place, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -242,9 +254,8 @@ def _count(found: DataFrame, model: Characters | None) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used], pa.float64())], names=["b", "n"])
 
     sums = found.repartition(found.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "b int, n double").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(BUCKETS)
-    counts[sums["b"].to_numpy(int)] = sums["n"].to_numpy(float)
-    return counts
+    held.unpersist()
+    return unpacked((sums["b"].to_numpy(np.uint32), sums["n"].to_numpy(np.float32)))
 
 
 class Garbled:
@@ -259,7 +270,7 @@ class Garbled:
         for _ in range(MODEL_ROUNDS):
             counts = _count(found.df, Characters(counts) if counts is not None else None)
         found.drop()
-        self.model = table.sparkSession.sparkContext.broadcast(counts)
+        self.model = table.sparkSession.sparkContext.broadcast(packed(counts))
         self.evidence = Cut(self._evidence()).df
         self.posterior = Cut(self._em()).df
 
@@ -269,7 +280,7 @@ class Garbled:
         key_type = self.rows.schema["_key"].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            chars = Characters(model.value)
+            chars = Characters(unpacked(model.value))
             for b in batches:
                 take, cols = [], ([], [], [])
                 for f in fields:
@@ -330,7 +341,7 @@ class Garbled:
         hit = bad.join(long.select("_key", "x.field", "x.text"), ["_key", "field"]).select("_key", "field", "chain", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            chars = Characters(model.value)
+            chars = Characters(unpacked(model.value))
             for b in batches:
                 out = []
                 for chain, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
