@@ -85,26 +85,26 @@ def provenance(df: DataFrame, record: str, url: Column, answer: Column, cached:
         F.col(record),
         source_url(url).alias("_u"),
         F.array_join(tokens(answer), " ").alias("_a"),
-        (F.contains(F.lower(text(url)), F.lit("/web/")) & F.lower(text(url)).rlike("^https?://[^/]*(archive|wayback)[^/]*/web/") | (text(cached) != "")).alias("_archived"),
+        (F.contains(F.lower(text(url)), F.lit("/web/")) & F.lower(text(url)).rlike("^https?://[^/]*(archive|wayback)[^/]*/web/") | (text(cached) != "")).alias("_ar"),
     ).withColumn("_f", F.split_part("_u", F.lit("/"), F.lit(1)))
-    family = rows.where("_u <> ''").groupBy(record, "_f").agg(F.count(F.lit(1)).alias("_n")).groupBy(record).agg(
-        F.count(F.lit(1)).alias("k"), F.max("_n").alias("most"), F.sum(F.when(F.col("_n") > 1, F.col("_n")).otherwise(0)).alias("repeated"), F.sum("_n").alias("with_url"), F.sum(F.col("_n") * F.log2("_n")).alias("nlogn")
+    family = rows.where("_u <> ''").groupBy(record, "_f").agg(F.count(F.lit(1)).alias("_c")).groupBy(record).agg(
+        F.count(F.lit(1)).alias("_k"), F.max("_c").alias("_most"), F.sum(F.when(F.col("_c") > 1, F.col("_c")).otherwise(0)).alias("_repeated"), F.sum("_c").alias("_with_url"), F.sum(F.col("_c") * F.log2("_c")).alias("_nlogn")
     )
     whole = rows.groupBy(record).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.countDistinct("_u").alias("urls"),
-        F.count_if(F.col("_a") != "").alias("said"),
-        F.countDistinct(F.when(F.col("_a") != "", F.col("_a"))).alias("kinds"),
-        F.count_if("_archived").alias("archived"),
-        F.count_if(F.col("_u") == "").alias("missing"),
+        F.count(F.lit(1)).alias("_n"),
+        F.countDistinct("_u").alias("_urls"),
+        F.count_if(F.col("_a") != "").alias("_said"),
+        F.countDistinct(F.when(F.col("_a") != "", F.col("_a"))).alias("_kinds"),
+        F.count_if("_ar").alias("_archived"),
+        F.count_if(F.col("_u") == "").alias("_missing"),
     )
     j = whole.join(family, record, "left")
-    n, k = F.col("n"), F.coalesce("k", F.lit(0))
-    entropy = F.when(k > 1, (F.log2("with_url") - F.col("nlogn") / F.col("with_url")) / F.log2("k")).otherwise(F.lit(0.0))
+    n, k = F.col("_n"), F.coalesce("_k", F.lit(0))
+    entropy = F.when(k > 1, (F.log2("_with_url") - F.col("_nlogn") / F.col("_with_url")) / F.log2("_k")).otherwise(F.lit(0.0))
     part = lambda c: F.coalesce(c, F.lit(0)) / n
     return j.select(
-        record, n.cast("double").alias("n_answers"), k.cast("double").alias("n_families"), (k / n).alias("family_share"), part(F.col("most")).alias("largest_family"), part(F.col("repeated")).alias("repeated_share"),
-        ((n - F.col("urls")) / n).alias("duplicate_url_share"), ((F.col("said") - F.col("kinds")) / n).alias("duplicate_answer_share"), (F.col("archived") / n).alias("archive_share"), (F.col("missing") / n).alias("missing_share"), entropy.alias("family_entropy"),
+        record, n.cast("double").alias("n_answers"), k.cast("double").alias("n_families"), (k / n).alias("family_share"), part(F.col("_most")).alias("largest_family"), part(F.col("_repeated")).alias("repeated_share"),
+        ((n - F.col("_urls")) / n).alias("duplicate_url_share"), ((F.col("_said") - F.col("_kinds")) / n).alias("duplicate_answer_share"), (F.col("_archived") / n).alias("archive_share"), (F.col("_missing") / n).alias("missing_share"), entropy.alias("family_entropy"),
     )
 
 
