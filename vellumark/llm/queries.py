@@ -128,3 +128,9 @@ both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a)
 SELECT a AS record_index, least(a, min(b)) AS group_id FROM reach GROUP BY a""",
 }
+_WINDOWS = """SELECT DISTINCT id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM (
+  SELECT {id} AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}) WHERE len(w) >= 12)"""
+_LEAKS = f"""WITH d AS ({_WINDOWS.format(id="doc_id", table="documents")}), t AS ({_WINDOWS.format(id="item_id", table="heldout_items")}),
+f AS (SELECT DISTINCT d.id AS doc_id, t.id AS item_id FROM d JOIN t USING (g))"""
+SQL["p8_found"] = _LEAKS + " SELECT doc_id, item_id FROM f"
+SQL["p8_items"] = _LEAKS + " SELECT item_id, count(*) AS n_documents FROM f GROUP BY item_id"
