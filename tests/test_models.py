@@ -6,8 +6,8 @@ from vellumark.operators import models as M
 
 def test_arrow_text():
     assert A.compatible("Ｆｕｌｌ  STRAẞE\n") == "full strasse" and A.compatible_words("ﬁve, ²x_y") == "five 2x_y"
-    assert A.canonical_numbers("1.50 1.5 -5 +5 1e-3 [9] 20 1,000") == " ".join(sorted({"1.5", "-5", "5", "0.001", "2E+1", "1E+3"}))
-    assert A.canonical_numbers("1. first\n2) second 7km") == "7"
+    assert A.canonical_numbers("1.50 1.5 -5 +5 1e-3 [9] 20°C") == " ".join(sorted({"1.5", "-5", "5", "0.001", "2E+1"}))
+    assert A.canonical_numbers("1. first\n2) second 7km NFAT4 5mmol/L 3x 1990.") == "5 7"
 
 
 def test_text_model_and_prediction(spark):

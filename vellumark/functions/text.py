@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{M}\p{N}\p{Pc}]+"
 # Words that a claim query leaves out.
-QUERY_STOPWORDS = "a an and are as at be by for from has in is it of on or that the to was were with".split()
+QUERY_STOPWORDS = "a an and are as at be by for from has in is it of on or the to was were with".split()
 CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2EBEF}"
 
 

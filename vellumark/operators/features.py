@@ -16,7 +16,7 @@ from vellumark.tables import Cut
 ANSWERS = "array<struct<answer:string,answer_type:string,source_url:string,source_medium:string,cached_source_url:string>>"
 NESTED = f"array<struct<question:string,answers:{ANSWERS}>>"
 # Words that negate.
-NEGATIONS = ["no", "not", "never", "none", "neither", "nor", "without", "cannot", "can't", "didn't", "doesn't", "isn't", "wasn't", "won't", "false"]
+NEGATIONS = ["no", "not", "never", "none", "neither", "nor", "without", "n't"]
 
 
 def answers_of(questions: Column) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from vellumark.functions.text import split_ids, text
 
 # The words that records may use.
-VERDICTS = ["authenticated", "contradicted", "insufficient", "conflicting", "unverified", "misattributed"]
-STANCES = ["supports", "contradicts", "mentions_only", "context", "unclear", "refutes"]
 CONFIDENCES = ["low", "medium", "high"]
+SIGNALS = ["explicit_citation", "shared_wording", "chronology", "shared_error", "archive_metadata", "near_duplicate", "same_url_target", "content_comparison"]
+AUTHENTICATING = "authenticating_source_located"
 
 
 def broken(rules: dict[str, Column]) -> Column:
@@ -63,11 +63,11 @@ def search_rules() -> dict[str, Column]:
         "execution_id": text("execution_id").rlike("^RUN-[0-9]+$"),
         "query_text": filled("query_text"),
         "executed_at_utc": is_instant("executed_at_utc"),
-        "authenticating_status": F.col("authenticating_result") == (F.col("result_status") == "authenticating_result"),
+        "authenticating_status": F.col("authenticating_result") == (F.col("result_status") == AUTHENTICATING),
     }
 
 
-def edge_rules(signals: list[str]) -> dict[str, Column]:
+def edge_rules(signals: list[str] = SIGNALS) -> dict[str, Column]:
     s = F.array_distinct(split_ids("dependency_signals"))
     return {
         "edge_id": text("edge_id").rlike("^EDGE-[0-9]+$"),

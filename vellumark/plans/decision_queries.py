@@ -334,24 +334,23 @@ def validate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_validate_sql("tesla_phase1b_search_log_v0_1", "execution_id", {
     "execution_id": "regexp_matches(coalesce(execution_id, ''), '^RUN-[0-9]+$')", "query_text": "trim(coalesce(query_text, '')) <> ''",
-    "executed_at_utc": r"regexp_matches(coalesce(executed_at_utc, ''), '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$')", "authenticating_status": "authenticating_result = (result_status = 'authenticating_result')",
+    "executed_at_utc": r"regexp_matches(coalesce(executed_at_utc, ''), '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$')", "authenticating_status": "authenticating_result = (result_status = 'authenticating_source_located')",
 }))
 def validate_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken rules of every search execution."""
     return V.validate(load(spark, sf_dir, "tesla_phase1b_search_log_v0_1"), "execution_id", V.search_rules()).select("execution_id", F.array_join("errors", ",").alias("errors"))
 
 
-_SIGNALS = ["shared_error", "near_duplicate", "content_comparison", "shared_wording", "archive_metadata", "citation", "publication_order"]
 
 
 @query(_validate_sql("tesla_phase1b_provenance_edges_v0_1", "edge_id", {
     "edge_id": "regexp_matches(coalesce(edge_id, ''), '^EDGE-[0-9]+$')", "two_ends": "trim(coalesce(child_evidence_id, '')) <> '' AND trim(coalesce(parent_evidence_id, '')) <> ''", "no_loop": "NOT coalesce(upper(trim(child_evidence_id)) = upper(trim(parent_evidence_id)), false)",
     "two_signals": "len(list_distinct(list_filter(list_transform(string_split(coalesce(dependency_signals, ''), ';'), lambda x: trim(x)), lambda x: x <> ''))) >= 2",
-    "known_signals": f"len(list_filter(list_transform(string_split(coalesce(dependency_signals, ''), ';'), lambda x: trim(x)), lambda x: x <> '' AND NOT list_contains({_SIGNALS}, x))) = 0", "confidence": _CONF.format("confidence"),
+    "known_signals": f"len(list_filter(list_transform(string_split(coalesce(dependency_signals, ''), ';'), lambda x: trim(x)), lambda x: x <> '' AND NOT list_contains({V.SIGNALS}, x))) = 0", "confidence": _CONF.format("confidence"),
 }))
 def validate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken rules of every provenance edge."""
-    return V.validate(load(spark, sf_dir, "tesla_phase1b_provenance_edges_v0_1"), "edge_id", V.edge_rules(_SIGNALS)).select("edge_id", F.array_join("errors", ",").alias("errors"))
+    return V.validate(load(spark, sf_dir, "tesla_phase1b_provenance_edges_v0_1"), "edge_id", V.edge_rules()).select("edge_id", F.array_join("errors", ",").alias("errors"))
 
 
 @query(_validate_sql("tesla_phase1b_verdicts_v0_1", "claim_id", {
