@@ -5,8 +5,15 @@ Scores are summed in the engine's order, so ranks go by the score rounded to nin
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vellumark.functions.text import tokens
 from vellumark.tables import Cut
@@ -24,34 +31,83 @@ def saturated(tf: Column, length: Column, mean: Column, k1: float = K1, b: float
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
 
 
+#: Queries (of words, or vectors) sent to the executors at once, and documents scored together.
+QUERY_BLOCK, SCORED_TOGETHER = 2_000, 1_000
+
+
 class Postings:
-    """An inverted index: (doc, token, tf, length) of every token of every document, and the collection's figures.
+    """A collection prepared for BM25: (doc, words) of every document, with N and the mean length.
 
-    Without words a document has no posting but counts in N and in the mean length. The same index serves any number of searches.
+    Without words a document has no posting but counts in N and in the mean length. The same collection serves any number of searches.
     """
 
     def __init__(self, docs: DataFrame, doc: str, text: str | None = None, words: Column | None = None):
-        listed = docs.select(F.col(doc).alias("doc"), (tokens(text) if words is None else words).alias("_words"))
-        sized = listed.select("doc", "_words", F.size("_words").alias("length"))
-        terms = sized.select("doc", "length", F.explode("_words").alias("token")).groupBy("doc", "token").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
-        figures = sized.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total")).first()
+        self.listed = docs.select(F.col(doc).alias("doc"), (tokens(text) if words is None else words).alias("words"))
+        figures = self.listed.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("words")).alias("total")).first()
         self.n, self.mean = figures["n"], (figures["total"] or 0) / max(1, figures["n"])
-        self.rows = terms
 
-    def search(self, queries: DataFrame, query: str, text: str | None = None, k: int | None = 10, words: Column | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, query: str, text: str | None = None, k: int = 10, words: Column | None = None) -> DataFrame:
         """(query, doc, score, rank): the k best documents of each query by BM25; documents without a shared token never appear.
 
-        A query's tokens count once. Only postings of tokens that some query has are shuffled: the queries' tokens with their weights
-        join the postings first, and scores are combined before they move.
+        A query's tokens count once; ties go to the lesser document. Document frequencies are counted for the queries' tokens alone. The
+        stated queries go to the executors in blocks of bounded size; documents pass through in Arrow batches, and only each batch's k best
+        per query leave it, so what is shuffled is batches × queries × k rows and not every scored pair.
         """
-        asked = queries.select(F.col(query).alias("query"), F.array_distinct(tokens(text) if words is None else words).alias("_w"))
-        asked = asked.select("query", F.explode("_w").alias("token")).distinct()
-        held = Cut(self.rows.join(asked.select("token").distinct(), "token", "left_semi")).df
-        df = held.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        weighed = asked.join(df, "token").select("query", "token", idf(F.lit(float(self.n)), F.col("df")).alias("idf"))
-        scored = held.withColumn("part", saturated(F.col("tf"), F.col("length"), F.lit(self.mean)))
-        score = scored.join(weighed, "token").groupBy("query", "doc").agg(F.round(F.sum(F.col("idf") * F.col("part")), 9).alias("score"))
-        return top(score, ["query"], [F.desc("score"), F.asc("doc")], k)
+        spark = self.listed.sparkSession
+        asked = queries.select(F.col(query).alias("query"), F.array_distinct(tokens(text) if words is None else words).alias("_w")).where("query is not null")
+        asked = Cut(asked.select("query", F.explode("_w").alias("token")).distinct()).df
+        seen = self.listed.select(F.explode(F.array_distinct("words")).alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+        df = seen.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        weighed = Cut(asked.join(df, "token").select("query", "token", idf(F.lit(float(self.n)), F.col("df")).alias("idf"))).df
+        blocks = max(1, -(-asked.select("query").distinct().count() // QUERY_BLOCK))
+        schema = T.StructType([T.StructField("query", asked.schema["query"].dataType), T.StructField("doc", self.listed.schema["doc"].dataType), T.StructField("score", T.DoubleType())])
+        out = None
+        for b in range(blocks):
+            part = weighed if blocks == 1 else weighed.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
+            rows = part.collect()
+            ids = sorted({r["query"] for r in rows})
+            number = {q: i for i, q in enumerate(ids)}
+            lists: dict[str, tuple[list[int], float]] = {}
+            for r in rows:
+                lists.setdefault(r["token"], ([], r["idf"]))[0].append(number[r["query"]])
+            held = spark.sparkContext.broadcast((ids, {t: (np.array(q, np.int32), w) for t, (q, w) in lists.items()}))
+            got = self.listed.mapInArrow(_scorer(held, self.mean, k, asked.schema["query"].dataType), schema)
+            out = got if out is None else out.unionByName(got)
+        return top(out, ["query"], [F.desc("score"), F.asc("doc")], k)
+
+
+def _scorer(held, mean: float, k: int, query_type: T.DataType):
+    """A map over Arrow batches (doc, words) to each batch's k best (query, doc, score) of a block of queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, lists = held.value
+        kind = to_arrow_type(query_type)
+        names = pa.array(ids, kind)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SCORED_TOGETHER):
+                batch = whole.slice(at, SCORED_TOGETHER)
+                score = np.zeros((batch.num_rows, len(ids)))
+                for i, words in enumerate(batch.column(1).to_pylist()):
+                    base = K1 * (1 - B + B * len(words or ()) / mean) if mean else K1
+                    for w, tf in Counter(words or ()).items():
+                        hit = lists.get(w)
+                        if hit is not None:
+                            score[i, hit[0]] += hit[1] * (tf * (K1 + 1) / (tf + base))
+                score = np.round(score, 9)
+                place = np.argsort(np.argsort(np.array(batch.column(0).to_pylist())), kind="stable") if batch.num_rows else np.empty(0, int)
+                queries, docs = [], []
+                for j in range(len(ids)):
+                    found = np.flatnonzero(score[:, j])
+                    if len(found) > 4 * k:  # all that tie with the k-th best stay for the exact order
+                        least = np.partition(score[found, j], len(found) - k)[len(found) - k]
+                        found = found[score[found, j] >= least]
+                    best = found[np.lexsort((place[found], -score[found, j]))[:k]]
+                    queries.append(np.full(len(best), j))
+                    docs.append(best)
+                q, d = (np.concatenate(x) if x else np.empty(0, int) for x in (queries, docs))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q, pa.int64())), batch.column(0).take(pa.array(d, pa.int64())), pa.array(score[d, q])], names=["query", "doc", "score"])
+
+    return run
 
 
 def top(df: DataFrame, per: list[str], order: list[Column], k: int | None, rank: str = "rank") -> DataFrame:
@@ -127,19 +183,12 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
 
 
-#: Query vectors sent to the executors at once.
-QUERY_BLOCK = 2_000
-
-
 def dense_search(docs: DataFrame, doc: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int, positive: bool = True, with_self: bool = False) -> DataFrame:
     """(query, doc, score, rank): the k documents with the greatest cosine, above 0 if `positive`.
 
     The stated queries go to the executors in blocks of bounded size; every document is compared with a block as matrices, and only each
     Arrow batch's k best per query leave it, so what is shuffled is batches × queries × k, not documents × queries.
     """
-    import numpy as np
-    import pyarrow as pa
-
     spark = docs.sparkSession
     kept = queries.select(F.col(query).cast("long").alias("q"), F.col(query_vector).alias("v")).where("q is not null and v is not null")
     blocks = max(1, -(-kept.count() // QUERY_BLOCK))
