@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumark.functions.text import normal_claim
-from vellumark.tables import Cut, fingerprint, join_on_unique, words
+from vellumark.tables import Cut, fingerprint, hot_keys, join_on_unique, words
 
 
 def linked_groups(rows: DataFrame, record: str, keys: list[Column]) -> DataFrame:
@@ -19,13 +19,16 @@ def linked_groups(rows: DataFrame, record: str, keys: list[Column]) -> DataFrame
     pairs = Cut(rows.select(F.col(record).alias("r"), kind.alias("k")).where("r is not null and k is not null").distinct())
     everyone = Cut(rows.select(F.col(record).alias("r")).where("r is not null").distinct())
     label = Cut(everyone.df.select("r", F.col("r").alias("g")))
+    n_pairs, hot = pairs.df.count(), {}
+    for key in ("r", "k"):  # the pairs stay the same, and so do their hot records and keys
+        hot[key] = hot_keys(pairs.df, key, rows=n_pairs)
     mark = fingerprint(label.df, "r", "g")
     while True:
-        by_key = join_on_unique(pairs.df, label.df, "r").groupBy("k").agg(F.min("g").alias("g"))
-        by_record = join_on_unique(pairs.df, by_key, "k").groupBy("r").agg(F.min("g").alias("m"))
+        by_key = join_on_unique(pairs.df, label.df, "r", hot=hot["r"]).groupBy("k").agg(F.min("g").alias("g"))
+        by_record = join_on_unique(pairs.df, by_key, "k", hot=hot["k"]).groupBy("r").agg(F.min("g").alias("m"))
         stepped = Cut(label.df.join(by_record, "r", "left").select("r", F.least("g", F.coalesce("m", "g")).alias("g")))
         onward = stepped.df.select(F.col("r").alias("g"), F.col("g").alias("h"))
-        jumped = Cut(join_on_unique(stepped.df, onward, "g").select("r", F.col("h").alias("g")))
+        jumped = Cut(join_on_unique(stepped.df, onward, "g", rows=mark[0]).select("r", F.col("h").alias("g")))
         stepped.drop()
         label.drop()
         label, before, mark = jumped, mark, fingerprint(jumped.df, "r", "g")

@@ -81,13 +81,13 @@ def hot_keys(df: DataFrame, key: str, share: int = 256, rows: int | None = None)
     return [r[0] for r in counts.where(F.col("_n") > max(HOT_ROWS, total // share)).select(key).collect()]
 
 
-def join_on_unique(many: DataFrame, one: DataFrame, key: str, how: str = "inner", salts: int = 32, rows: int | None = None) -> DataFrame:
+def join_on_unique(many: DataFrame, one: DataFrame, key: str, how: str = "inner", salts: int = 32, rows: int | None = None, hot: list | None = None) -> DataFrame:
     """Joins rows to a side that has each key once; rows of hot keys are spread over `salts` copies of that key's row.
 
     The salt is a hash of the row, so a task that runs again sends each row where it went before. Rows with a null key find
-    no partner. `one` is never broadcast by a hint. rows: the row count of `many` where it is known.
+    no partner. `one` is never broadcast by a hint. rows: the row count of `many` where it is known; hot: its hot keys where they are.
     """
-    hot = hot_keys(many, key, rows=rows)
+    hot = hot_keys(many, key, rows=rows) if hot is None else hot
     if not hot:
         return many.join(one, key, how)
     is_hot = F.col(key).isin(hot)
