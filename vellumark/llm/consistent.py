@@ -150,15 +150,15 @@ def normalise_batch(con, batch: pa.RecordBatch, columns: list[str], suffix: str)
         encoded = batch.column(batch.schema.get_field_index(c)).cast(pa.string()).dictionary_encode()
         texts = pa.table({"t": encoded.dictionary, "i": pa.array(range(len(encoded.dictionary)), pa.int32())})
         con.register("batch", texts)
-        done = con.sql(_texts_query()).to_arrow_table().column("n").combine_chunks().cast(pa.string())
+        done = con.sql(texts_query()).to_arrow_table().column("n").combine_chunks().cast(pa.string())
         con.unregister("batch")
         out.append(done.take(encoded.indices) if len(done) else pa.nulls(batch.num_rows, pa.string()))
     return pa.RecordBatch.from_arrays(out, names=[*batch.schema.names, *(c + suffix for c in columns)])
 
 
 @functools.cache
-def _texts_query() -> str:
-    """SQL over the view `batch` (t, i): the consistent form n of each text t, in the order of i.
+def texts_query(with_text: bool = False) -> str:
+    """SQL over the view `batch` (t, i): the consistent form n of each text t (and t itself, if wanted), in the order of i.
 
     Words are looked at one by one only in texts where letters of two scripts touch, or where a whole word consists of look-alikes of
     the text's main script.
@@ -169,7 +169,8 @@ def _texts_query() -> str:
     alone = lambda like: f"(?:^|[^\\p{{L}}\\p{{M}}]){_class(like)}+(?:[^\\p{{L}}\\p{{M}}]|$)"
     odd = f"""(regexp_matches(p, '{touch}') OR CASE WHEN NOT regexp_matches(p, '[\\p{{Cyrillic}}\\p{{Greek}}]') THEN false
       WHEN main THEN regexp_matches(p, '{alone(LATIN_LIKE)}') ELSE regexp_matches(p, '{alone(CYRILLIC_LIKE + GREEK_LIKE)}') END)"""
-    return f"SELECT CASE WHEN {odd} THEN {_words_sql('p')} ELSE p END AS n FROM (SELECT i, p, {_mainly_cyrillic('p')} AS main FROM (SELECT i, {plain} AS p FROM batch)) ORDER BY i"
+    text = "t, " if with_text else ""
+    return f"SELECT {text}CASE WHEN {odd} THEN {_words_sql('p')} ELSE p END AS n FROM (SELECT *, {_mainly_cyrillic('p')} AS main FROM (SELECT i, {text}{plain} AS p FROM batch)) ORDER BY i"
 
 
 def connect():

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumark.llm.components import match_groups
-from vellumark.llm.consistent import with_consistent
+from vellumark.llm.consistent import texts_query, with_consistent
 from vellumark.llm.garbled import Garbled
 from vellumark.llm.leaks import leaked
 from vellumark.llm.mixture import Mixture
@@ -134,3 +134,26 @@ _LEAKS = f"""WITH d AS ({_WINDOWS.format(id="doc_id", table="documents")}), t AS
 f AS (SELECT DISTINCT d.id AS doc_id, t.id AS item_id FROM d JOIN t USING (g))"""
 SQL["p8_found"] = _LEAKS + " SELECT doc_id, item_id FROM f"
 SQL["p8_items"] = _LEAKS + " SELECT item_id, count(*) AS n_documents FROM f GROUP BY item_id"
+
+# The consistent form is itself DuckDB SQL; its twins run it over whole tables, without Arrow batches.
+
+
+def _with_forms(texts: str) -> str:
+    """CTEs `batch` and `forms` (t, n): the consistent form of each text that the subquery `texts` (t) gives."""
+    return f"""batch AS MATERIALIZED (SELECT t, row_number() OVER (ORDER BY t) AS i FROM ({texts}) WHERE t IS NOT NULL), forms AS (SELECT t, n FROM ({texts_query(with_text=True)}))"""
+
+
+_TEXTS = " UNION ".join(f"SELECT {c} AS t FROM predictions" for c in TEXTS)
+SQL["p6_found"] = f"WITH {_with_forms(_TEXTS)} " + " UNION ".join(f"SELECT prediction_id, '{c}' AS field_name FROM predictions JOIN forms ON {c} = t WHERE t <> n" for c in TEXTS)
+_CLAIMS = f"""{_with_forms("SELECT DISTINCT claim AS t FROM predictions")}, c AS (SELECT DISTINCT record_index, n FROM predictions JOIN forms ON claim = t)"""
+SQL["p2_found"] = f"""WITH RECURSIVE {_CLAIMS}, k AS (
+  SELECT record_index AS r, 'c:' || trim(regexp_replace(lower(n), '[\\s\\x0b\\x85\\p{{Z}}]+', ' ', 'g')) AS k FROM c WHERE trim(regexp_replace(lower(n), '[\\s\\x0b\\x85\\p{{Z}}]+', ' ', 'g')) <> ''
+  UNION SELECT record_index, 'e:' || trim(e.id) FROM (SELECT record_index, unnest(evidence) AS e FROM predictions) WHERE trim(e.id) <> ''
+  UNION SELECT r, 'g:' || trim(v) FROM (SELECT unnest(map_keys(group_by_index)) AS r, unnest(map_values(group_by_index)) AS v FROM split_result) WHERE trim(v) <> '' AND r IN (SELECT record_index FROM predictions)),
+m AS (SELECT k, min(r) AS h FROM k GROUP BY k HAVING count(DISTINCT r) > 1), e AS (SELECT DISTINCT k.r AS a, m.h AS b FROM k JOIN m USING (k) WHERE k.r <> m.h), w AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(a, b) AS (SELECT a, b FROM w UNION SELECT r.a, w.b FROM reach r JOIN w ON r.b = w.a)
+SELECT a AS record_index, least(a, min(b)) AS group_id FROM reach GROUP BY a"""
+SQL["p7_found"] = f"""WITH {_CLAIMS}, w AS (SELECT record_index, list_distinct(regexp_extract_all(lower(n), '[\\p{{L}}\\p{{N}}]+')) AS w FROM c),
+tr AS (SELECT DISTINCT unnest(train_indices) AS r FROM split_result), va AS (SELECT DISTINCT unnest(validation_indices) AS r FROM split_result),
+x AS (SELECT a.record_index AS a, b.record_index AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS s FROM w a JOIN tr ON tr.r = a.record_index, w b JOIN va ON va.r = b.record_index WHERE len(a.w) > 0 AND len(b.w) > 0 AND a.record_index <> b.record_index)
+SELECT DISTINCT least(a, b) AS record_index, greatest(a, b) AS other_record_index FROM x WHERE i >= 0.8 * (s - i) - 1e-9"""
