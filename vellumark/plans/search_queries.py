@@ -9,7 +9,7 @@ from vellumark.functions import text as X
 from vellumark.operators import grouping as G
 from vellumark.operators import retrieval as R
 from vellumark.plans.registry import Register
-from vellumark.plans.text_queries import sql_fold, sql_normal, sql_tokens
+from vellumark.plans.text_queries import sql_fold, sql_multilingual, sql_normal, sql_tokens
 from vellumark.tables import load
 
 query = Register()
@@ -42,13 +42,18 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query").alias("query_id"), F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, unnest({sql_multilingual('text')}) AS tok FROM documents), tf AS (SELECT doc_id, tok, count(*) AS tf FROM t GROUP BY ALL),
+dl AS (SELECT doc_id, len({sql_multilingual('text')}) AS dl FROM documents), st AS (SELECT count(*) AS n, sum(dl) / count(*) AS av FROM dl), df AS (SELECT tok, count(*) AS df FROM tf GROUP BY tok),
+q AS (SELECT DISTINCT doc_id AS query_id, tok FROM tf WHERE doc_id % 100 = 0),
+sc AS (SELECT query_id, tf.doc_id, round(sum(ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)) * (tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / av)))), 9) AS score
+  FROM q JOIN tf USING (tok) JOIN df USING (tok) JOIN dl ON dl.doc_id = tf.doc_id CROSS JOIN st GROUP BY ALL)
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 3""")
 def bm25_multilingual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best documents by BM25 over multilingual tokens for each query document."""
     docs = _docs(spark, sf_dir)
     asked = _asked(docs)
     found = R.Postings(docs, "doc_id", words=X.multilingual_tokens("text")).search(asked, "query_id", None, 3, X.multilingual_tokens("query_text"))
-    return found.select(F.col("query").alias("query_id"), F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+    return found.select(F.col("query").alias("query_id"), F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH f AS (SELECT doc_id, 3e0 AS w, {sql_tokens("string_split(coalesce(text, ''), chr(10))[1]")} AS toks FROM documents UNION ALL

@@ -52,7 +52,19 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
-@query()
+_CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2EBEF}"
+
+
+def sql_multilingual(c: str) -> str:
+    """SQL for the multilingual tokens of a text: words, then single characters, then pairs, run by run."""
+    t = sql_fold(c)
+    runs = rf"regexp_extract_all(regexp_replace({t}, '[^\p{{L}}]', ' ', 'g'), '[{_CJK}]+')"
+    return rf"""list_concat(list_transform(regexp_extract_all(regexp_replace({t}, '[{_CJK}]', ' ', 'g'), '[\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: 'w_' || w),
+      flatten(list_transform({runs}, lambda r: list_transform(string_split(r, ''), lambda x: 'c1_' || x))),
+      flatten(list_transform({runs}, lambda r: list_transform(range(1, length(r)), lambda i: 'c2_' || substr(r, i, 2)))))"""
+
+
+@query(f"SELECT DISTINCT prediction_id, {sql_multilingual('claim')} AS tokens FROM predictions")
 def cjk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multilingual tokens of every prediction's claim: words, and single and paired characters of scripts without blanks."""
     return load(spark, sf_dir, "predictions", "prediction_id", "claim").distinct().select("prediction_id", X.multilingual_tokens("claim").alias("tokens"))
