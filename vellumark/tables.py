@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -45,6 +46,8 @@ def _remove_all() -> None:
     for path, spark in list(_OWN.items()):
         if spark.sparkContext._jsc is not None:
             _remove(spark, path)
+    for folder in _LOCAL.values():
+        shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
 
 
 class Cut:
