@@ -28,6 +28,8 @@ from vellumark.tables import Cut
 BUCKETS = 1 << 22
 #: Rounds of the character model, and of EM over the evidence.
 MODEL_ROUNDS, EM_ROUNDS = 4, 4
+#: Places counted in one task, where there are more than one for each core.
+COUNTED = 100_000
 #: Weight of the shorter context's estimate, in observations.
 BACKING = 8.0
 #: Part of a garbled record's touched words that are garbled, and the log ratio that a word needs to count as evidence.
@@ -253,7 +255,8 @@ def _count(found: DataFrame, model: Characters | None) -> np.ndarray:
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used], pa.float64())], names=["b", "n"])
 
-    sums = found.repartition(found.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "b int, n double").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+    tasks = max(found.sparkSession.sparkContext.defaultParallelism, found.count() // COUNTED)
+    sums = found.repartition(tasks).mapInArrow(run, "b int, n double").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
     held.unpersist()
     return unpacked((sums["b"].to_numpy(np.uint32), sums["n"].to_numpy(np.float32)))
 

@@ -25,6 +25,8 @@ from vellumark.tables import Cut
 
 #: Evaluation word sets in one automaton.
 SHARD = 40_000
+#: Training word sets scanned in one task, where there are more than one for each core.
+SCANNED = 50_000
 #: A word in more than one of FREQUENT_SHARE sets counts as frequent: at most (words per set) x FREQUENT_SHARE words do.
 FREQUENT_SHARE = 2_000
 COMMON = 3
@@ -109,10 +111,10 @@ def similar_sets(train: DataFrame, evaluation: DataFrame, similarity: float = 0.
     """
     spark = train.sparkSession
     train, ev = Cut(train.where("word_set <> ''").select("word_set")), Cut(evaluation.where("word_set <> ''").select("word_set"))
-    n = train.df.count() + ev.df.count()
+    n_train, n_ev = train.df.count(), ev.df.count()
+    n = n_train + n_ev
     counts = train.df.union(ev.df).select(F.explode(F.split("word_set", " ")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     frequent = {r["w"]: r["n"] for r in counts.where(F.col("n") > n // FREQUENT_SHARE + 1).collect()}
-    n_ev = ev.df.count()
     shards = max(1, math.ceil(n_ev / SHARD))
     numbered = ev.df.withColumn("_shard", F.pmod(F.xxhash64("word_set"), F.lit(shards)))
     out = None
@@ -130,7 +132,7 @@ def similar_sets(train: DataFrame, evaluation: DataFrame, similarity: float = 0.
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)], names=["train_set", "eval_set", "n_both", "n_either"])
 
-        part = train.df.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "train_set string, eval_set string, n_both int, n_either int")
+        part = train.df.repartition(max(spark.sparkContext.defaultParallelism, n_train // SCANNED)).mapInArrow(run, "train_set string, eval_set string, n_both int, n_either int")
         out = part if out is None else out.unionByName(part)
     return out
 
