@@ -106,6 +106,14 @@ def test_copies_and_collapse_cancel(spark):
     assert got == [["x", "y", "z", "x", "x"], []]
 
 
+def test_copies_are_of_the_whole_records_dominant_source(spark):
+    rows = [(1, f"e{i:03}", f"https://{'abc'[i % 3] if i < 150 else 'd'}.org/{i}") for i in range(250)]  # d has 100 rows, the others 50 each
+    rows += [(2, "x", "https://q.org/1"), (2, "y", "https://p.org/1"), (2, "z", None), (2, "zz", ""), (2, "zzz", ""), (3, "n", None), (None, "o", "https://q.org/2")]
+    got = S.with_copies(spark.createDataFrame(rows, "r int, e string, u string").repartition(7), "r", "u", ["e", "u"], 5).collect()
+    assert sorted((r["r"] or 0, r["e"], r["copy"]) for r in got if r["copy"]) == [(k, e, i) for k, e in ((1, "e150"), (2, "x")) for i in range(1, 6)]
+    assert sorted(((r["r"] or 0), r["e"]) for r in got if not r["copy"]) == sorted((r[0] or 0, r[1]) for r in rows)
+
+
 def test_donors_take_the_least_shared(spark):
     rows = [(i, "c", [f"e{i % 3}", f"f{i}"]) for i in range(12)] + [(99, "alone", ["z"])]
     got = {r["r"]: r for r in S.donors(spark.createDataFrame(rows, "r int, c string, ids array<string>"), "r", "c", "ids").collect()}

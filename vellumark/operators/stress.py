@@ -36,6 +36,21 @@ def inject_copies(items: Column, url: str, copies: int) -> Column:
     return F.when(F.size(items) > 0, F.concat(items, F.array_repeat(first, copies))).otherwise(items)
 
 
+def with_copies(df: DataFrame, record: str, url: str, order: list[str], copies: int) -> DataFrame:
+    """df's rows with a column copy: 0 for the row itself, 1 to `copies` for copies of one row of each record.
+
+    That row is the first (by `order`) of the record's most frequent source; of equally frequent ones the one that begins earliest. Rows
+    without a source or a record count for none, and a record without any source gets no copies. Counts are per record and source, so a
+    record of any size is combined on the map side and never collected. `order` must tell the rows of a record apart.
+    """
+    rest = [c for c in df.columns if c not in (record, *order)]
+    row = F.struct(*order, *rest)
+    sources = df.withColumn("_f", source_family(url)).where(F.col(record).isNotNull() & (F.col("_f") != "")).groupBy(record, "_f").agg(F.count(F.lit(1)).alias("_n"), F.min(row).alias("_first"))
+    best = sources.groupBy(record).agg(F.min(F.struct((-F.col("_n")).alias("_n"), "_first")).alias("_b"))
+    added = best.select(record, "_b._first.*", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy")) if copies > 0 else best.select(record, "_b._first.*", F.lit(0).alias("copy")).limit(0)
+    return df.withColumn("copy", F.lit(0)).unionByName(added)
+
+
 def scan_noise(t: Column, key: Column, rate: float = 0.02) -> Column:
     """The text with ceil(rate x length) of its o, l, e and a misread (at least one, if it has any): those with the least hashes of key and place."""
     c = text(t)

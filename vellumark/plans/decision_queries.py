@@ -198,12 +198,14 @@ def gate_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("prediction_id", F.round(head(F.col("x")), 9).alias("p"), F.round(head(D.masked(F.col("x"), [0.1, 0.2, 0.3], [2])), 9).alias("p_masked"))
 
 
-@query()
+@query(f"""WITH {_PAGE}, e AS (SELECT DISTINCT claim_id, evidence_id, source_url, CASE WHEN page <> '' THEN host ELSE '' END AS f FROM pg),
+r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY evidence_id, source_url NULLS FIRST) AS i FROM e), g AS (SELECT claim_id, f, count(*) AS n, min(i) AS i FROM r WHERE claim_id IS NOT NULL AND f <> '' GROUP BY ALL),
+b AS (SELECT claim_id, i FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY n DESC, i) AS place FROM g) WHERE place = 1)
+SELECT claim_id, evidence_id, source_url, 0 AS copy FROM e UNION ALL SELECT claim_id, evidence_id, source_url, k::INT FROM r JOIN b USING (claim_id, i), (SELECT unnest([1, 2, 3, 4, 5]) AS k)""")
 def inject_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every claim's evidence addresses with five copies of the first one of the most frequent source."""
+    """Every claim's evidence addresses with five copies of the first one of the claim's most frequent source."""
     ev = load(spark, sf_dir, "tesla_phase1b_evidence_v0_1", "claim_id", "evidence_id", "source_url").distinct()
-    items = ev.groupBy("claim_id", F.pmod(F.xxhash64("evidence_id"), F.lit(64)).alias("part")).agg(F.array_sort(F.collect_list(F.struct("evidence_id", "source_url"))).alias("items"))
-    return items.select("claim_id", "part", F.size(S.inject_copies(F.col("items"), "source_url", 5)).alias("n_items"))
+    return S.with_copies(ev, "claim_id", "source_url", ["evidence_id", "source_url"], 5)
 
 
 _OCR = """WITH c AS (SELECT DISTINCT claim_id, claim_text AS t FROM tesla_claims_pilot_v0_1 WHERE claim_text <> ''), k AS (SELECT claim_id, t, i - 1 AS i, t[i] AS x FROM (SELECT *, unnest(range(1, length(t) + 1)) AS i FROM c)),
