@@ -87,3 +87,12 @@ def test_chains_are_undone_exactly():
 def test_garbled_of_nothing(spark):
     g = Garbled(spark.createDataFrame([], "doc_id long, text string, source string"), "doc_id", ["text"], "source")
     assert g.found().count() == 0 and g.repaired().count() == 0
+
+
+def test_a_single_byte_text_is_found_however_often_it_is_copied(spark):
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice(CLEAN) for _ in range(3)), f"s{i % 3}") for i in range(300)]
+    once = "Позже архивариус подтвердил, что рассказ не преувеличен и написан сильно.".encode("cp1251").decode("cp1252")
+    copied = [(2000 + i, once, f"s{i % 3}") for i in range(150)]  # a third of all rows
+    found = {r["doc_id"] for r in Garbled(spark.createDataFrame(docs + copied, "doc_id long, text string, source string"), "doc_id", ["text"], "source").found().collect()}
+    assert found == {r[0] for r in copied}

@@ -37,8 +37,9 @@ TOUCHED, LEAST_RATIO = 0.6, 0.7
 #: A word's log ratio less this is the log odds that it is garbled, while the character model is estimated: valid UTF-8
 #: sequences seldom arise by chance, single bytes always have another reading.
 UTF8_ODDS, SINGLE_ODDS = 1.0, 5.0
-#: A word seen so many times more often than its other reading is no evidence for a single-byte chain.
-MORE_OFTEN = 5
+#: Places of a word that are added to both readings' counts, as a share of all characters, where a single-byte chain's two readings
+#: are compared: a share, so that the comparison is the same in a corpus of any size.
+SEEN_SHARE = 5e-6
 LOST_RATIO = 12.0
 PSEUDO_RECORDS = 20.0
 #: A word that isn't plain ASCII; tried at beginnings of words only.
@@ -186,6 +187,11 @@ class Characters:
     def seen(self, before: str, word: str, after: str) -> float:
         return self.counts[self.bucket("\x08" + before + word + after)]
 
+    def more_often(self, before: str, word: str, back: str, after: str) -> float:
+        """Log of how many times more often the word is seen than its other reading, 0 if it isn't."""
+        some = SEEN_SHARE * float(self.counts[self.bucket("\x07")]) + 1e-9
+        return max(0.0, math.log((float(self.seen(before, word, after)) + some) / (float(self.seen(before, back, after)) + some)))
+
     def garbled_odds(self, place: tuple[str, str, str]) -> float:
         """Log odds that the word at this place is garbled, by its best chain."""
         return max((r - (UTF8_ODDS if c.startswith(("utf8", "lost")) else SINGLE_ODDS) for c, r, _ in self.evidence(place)), default=-30.0)
@@ -202,21 +208,24 @@ class Characters:
                 back = undo(word)
                 if back == word or CONTROL.search(back):
                     continue
-                if not name.startswith("utf8") and self.seen(before, word, after) > self.seen(before, back, after) + MORE_OFTEN:
-                    continue
                 if own is None:
                     own = self.log_p(before, word, after)
                 if back not in done:
                     done[back] = self.log_p(before, back, after) - own
-                if done[back] >= LEAST_RATIO:
-                    known.append((name, done[back], back))
+                ratio = done[back] if name.startswith("utf8") else done[back] - self.more_often(before, word, back, after)
+                if ratio >= LEAST_RATIO:
+                    known.append((name, ratio, back))
             if len(word) <= 80 and len(self.words) < 500_000:
                 self.words[place] = known
         return known
 
 
 def _places(texts: DataFrame) -> DataFrame:
-    """(before, word, after, n): every place of a word that isn't plain ASCII and how often it occurs in all texts."""
+    """(before, word, after, n): every place of a word that isn't plain ASCII and how often it occurs in all distinct texts.
+
+    Copies of a text count once: else the model would learn a garbled text by heart that stands in the corpus many times.
+    """
+    each = texts.select(F.explode(F.array(*texts.columns)).alias("text")).where(F.col("text").rlike("[^\\x00-\\x7f]")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -236,7 +245,7 @@ def _places(texts: DataFrame) -> DataFrame:
                 yield out()
         yield out()
 
-    return texts.mapInArrow(run, "before string, word string, after string, n long").groupBy("before", "word", "after").agg(F.sum("n").alias("n"))
+    return each.mapInArrow(run, "before string, word string, after string, n long").groupBy("before", "word", "after").agg(F.sum("n").alias("n"))
 
 
 def _count(found: DataFrame, model: Characters | None) -> np.ndarray:
