@@ -120,6 +120,14 @@ def test_donors_take_the_least_shared(spark):
     assert set(got) == set(range(12)) and all(r["donor"] != k and r["shared"] == 0 for k, r in got.items())
 
 
+def test_donors_are_the_least_of_the_whole_cohort(spark):
+    rows = [(i, "c", ["hot", f"x{i % 3}"] if i != 17 else ["rare"]) for i in range(60)] + [(100 + i, "d", ["all", f"y{i % 2}"]) for i in range(20)] + [(200 + i, "e", ["p", "q"]) for i in range(3)]
+    got = {r["r"]: r for r in S.donors(spark.createDataFrame(rows, "r int, c string, ids array<string>"), "r", "c", "ids").collect()}
+    least = {r: min(len({*a} & {*b}) for q, d, b in rows if d == c and q != r) for r, c, a in rows}
+    held = {r: {*a} for r, _, a in rows}
+    assert {r: x["shared"] for r, x in got.items()} == least and all(len(held[r] & held[x["donor"]]) == least[r] and r != x["donor"] for r, x in got.items())
+
+
 def test_guards(spark):
     corpus = spark.createDataFrame([("a", "The whole text"), ("b", "Other")], "id string, t string")
     shown = spark.createDataFrame([(1, "a", "the  whole"), (2, "a", "whole"), (2, "b", "Other"), (3, "x", "y")], "k int, id string, t string")

@@ -106,8 +106,11 @@ def context_variants(items: Column, copies: int = 3) -> dict[str, Column]:
     return {"baseline": items, "copies": F.when(F.size(items) > 0, F.concat(items, F.array_repeat(F.get(items, F.lit(0)), copies))).otherwise(items), "reversed": F.reverse(items)}
 
 
-def stressed_contexts(df: DataFrame, record: str, cohort: str, evidence: str) -> DataFrame:
-    """(record, cohort, condition, evidence) under five conditions: baseline, ocr_noise, fabricated_citation, authoritative_wording, evidence_absent."""
+def stressed_contexts(df: DataFrame, record: str, cohort: str, evidence: str, swapped: str | None = None) -> DataFrame:
+    """(record, cohort, condition, evidence) under five conditions: baseline, ocr_noise, fabricated_citation, authoritative_wording, evidence_absent.
+
+    With `swapped`, a column with a donor's evidence, also under swapped_context; null where there is no donor.
+    """
     key = F.concat_ws(":", F.col(cohort), F.col(record).cast("string"))
     reference = F.concat(F.lit("SYNTHETIC-ARCHIVE-"), F.upper(F.substring(F.sha2(key, 256), 1, 12)))
     e = F.col(evidence)
@@ -119,28 +122,46 @@ def stressed_contexts(df: DataFrame, record: str, cohort: str, evidence: str) ->
         "authoritative_wording": with_text(lambda x: F.concat(F.lit(AUTHORITY), text(x["text"]))),
         "evidence_absent": F.slice(with_text(lambda x: x["text"]), 1, 0),
     }
+    if swapped:
+        made["swapped_context"] = F.transform(swapped, lambda x: F.struct(x["id"].alias("id"), x["text"].alias("text")))
     return df.select(record, cohort, F.explode(F.array(*(F.struct(F.lit(c).alias("condition"), v.alias("evidence")) for c, v in made.items()))).alias("x")).select(record, cohort, "x.condition", "x.evidence")
 
 
 def donors(df: DataFrame, record: str, cohort: str, ids: str, choices: int = 8) -> DataFrame:
     """(record, donor, shared): for each record another one of its cohort whose evidence replaces its own.
 
-    Each record is offered the `choices` records after it in the cohort's hash order (and from the start again), and takes the one with the
-    fewest shared evidence ids, ties by hash. So a cohort of any size costs rows × choices, and nobody sees a whole cohort.
+    Of the whole cohort it is the one with the fewest shared evidence ids; of several the first after the record in the cohort's hash order
+    (and from the start again). So each record is offered the next `choices` records, then twice as many for as long as all of them
+    share ids with it: the first that shares none is the least of all, and who shares with everyone sees the whole cohort. Ids that
+    all of a cohort hold are shared by every pair and settle nothing, so they are only added to the count.
     """
     h = F.sha2(F.concat_ws(":", F.lit("donor"), F.col(record).cast("string")), 256)
-    ranged = df.select(cohort, record, ids, h.alias("_h"), F.substring(h, 1, 2).alias("_r"))
+    ranged = df.select(cohort, record, F.array_distinct(ids).alias(ids), h.alias("_h"), F.substring(h, 1, 2).alias("_r"))
     held = Cut(ranged).df
     sizes = held.groupBy(cohort, "_r").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(cohort)
     starts = sizes.select(cohort, "_r", F.coalesce(F.sum("_n").over(w.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"), F.sum("_n").over(w).alias("_all"))
     placed = held.join(starts, [cohort, "_r"]).withColumn("_i", F.col("_s") + F.row_number().over(Window.partitionBy(cohort, "_r").orderBy("_h", record)) - 1)
-    placed = Cut(placed.select(cohort, record, ids, "_h", "_i", "_all")).df
-    offers = placed.select(cohort, record, ids, "_i", "_all", F.explode(F.sequence(F.lit(1), F.lit(choices))).alias("_k")).withColumn("_j", F.pmod(F.col("_i") + F.col("_k"), F.col("_all"))).where("_j <> _i")
-    other = placed.select(cohort, F.col("_i").alias("_j"), F.col(record).alias("donor"), F.col(ids).alias("_theirs"), F.col("_h").alias("_dh"))
-    met = offers.join(other, [cohort, "_j"]).withColumn("shared", F.size(F.array_intersect(ids, "_theirs")))
-    best = met.groupBy(record).agg(F.min(F.struct("shared", "_dh", "donor")).alias("b"))
-    return best.select(record, F.col("b.donor").alias("donor"), F.col("b.shared").alias("shared"))
+    placed = Cut(placed.select(cohort, record, ids, "_i", "_all")).df
+    counts = placed.select(cohort, "_all", F.explode(ids).alias("_id")).where("_id is not null").groupBy(cohort, "_id").agg(F.count(F.lit(1)).alias("_n"), F.max("_all").alias("_all"))
+    common = counts.where("_n = _all").groupBy(cohort).agg(F.collect_list("_id").alias("_common"))
+    rest = F.when(F.col("_common").isNull(), F.col(ids)).otherwise(F.array_except(ids, "_common"))
+    placed = Cut(placed.join(common, cohort, "left").select(cohort, record, rest.alias(ids), F.coalesce(F.size("_common"), F.lit(0)).alias("_base"), "_i", "_all")).df
+    other = placed.select(cohort, F.col("_i").alias("_j"), F.col(record).alias("donor"), F.col(ids).alias("_theirs"))
+    best = F.struct(F.lit(None).cast("int").alias("shared"), F.lit(None).cast("bigint").alias("_k"), F.lit(None).cast(df.schema[record].dataType).alias("donor"))
+    left, seen, width, out = placed.where("_all > 1").withColumn("_b", F.when(F.lit(False), best)), 0, choices, None
+    while True:
+        offers = left.withColumn("_k", F.explode(F.sequence(F.lit(seen + 1).cast("bigint"), F.least(F.lit(seen + width).cast("bigint"), F.col("_all") - 1)))).withColumn("_j", F.pmod(F.col("_i") + F.col("_k"), F.col("_all")))
+        met = offers.join(other, [cohort, "_j"]).withColumn("_new", F.struct(F.size(F.array_intersect(ids, "_theirs")).alias("shared"), "_k", "donor"))
+        got = met.groupBy(cohort, record, "_i").agg(F.min("_new").alias("_new"))
+        seen, width = seen + width, 2 * width
+        now = Cut(left.join(got, [cohort, record, "_i"]).withColumn("_b", F.least("_b", "_new")).drop("_new")).df
+        settled = (F.col("_b.shared") == 0) | (F.col("_all") - 1 <= seen)
+        done = now.where(settled).select(record, F.col("_b.donor").alias("donor"), (F.col("_b.shared") + F.col("_base")).alias("shared"))
+        out = done if out is None else out.unionByName(done)
+        left = now.where(~settled)
+        if left.isEmpty():
+            return out
 
 
 def placeholder_names(tokens_column: Column, key: Column) -> Column:

@@ -242,6 +242,18 @@ def insert_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("claim_id", F.explode(S.fabricated_items(F.col("claim_text"), F.col("claim_id"), 3)).alias("x")).select("claim_id", "x.ordinal", "x.text", "x.source_url")
 
 
+def _one_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(prediction_id, cohort, evidence): one prediction of every record, that of the full gate where there is one."""
+    rows = _shown(spark, sf_dir, "record_index", "cohort", "policy")
+    first = F.min(F.struct(F.coalesce(F.col("policy") != "full_gate", F.lit(True)), "policy", "prediction_id", "cohort", "evidence"))
+    return rows.groupBy("record_index").agg(first.alias("x")).select("x.prediction_id", "x.cohort", "x.evidence")
+
+
+def _donors(rows: DataFrame) -> DataFrame:
+    ids = rows.where("cohort is not null").select("prediction_id", "cohort", F.transform("evidence", lambda e: e["id"]).alias("ids"))
+    return S.donors(ids, "prediction_id", "cohort", "ids")
+
+
 @query()
 def stressed_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record's evidence under five conditions."""
@@ -252,10 +264,8 @@ def stressed_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def swap_donor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every prediction of the full gate another one of its cohort to take evidence from."""
-    rows = _shown(spark, sf_dir, "cohort", "policy").where("policy = 'full_gate' and cohort is not null")
-    ids = rows.groupBy("prediction_id", "cohort").agg(F.first(F.transform("evidence", lambda e: e["id"])).alias("ids"))
-    return S.donors(ids, "prediction_id", "cohort", "ids")
+    """For one prediction of every record another record's of its cohort to take evidence from."""
+    return _donors(cut(_one_per_record(spark, sf_dir)))
 
 
 @query("""WITH e AS (SELECT DISTINCT prediction_id, coalesce(list_transform(evidence, lambda x: x.id), []) AS ids FROM predictions) SELECT prediction_id, array_to_string(ids, ',') AS baseline, array_to_string(CASE WHEN len(ids) > 0 THEN list_concat(ids, [ids[1], ids[1], ids[1]]) ELSE ids END, ',') AS copies, array_to_string(list_reverse(ids), ',') AS reversed FROM e""")
