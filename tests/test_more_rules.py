@@ -36,6 +36,15 @@ def test_contexts_and_names(spark):
     assert t[:2] == ["Fen", "met"] and t[2] == t[3] != "Holt"
 
 
+def test_swapped_contexts_of_every_record(spark, tmp_path):
+    from vellumark.plans.decision_queries import QUERIES
+
+    rows = [(1, 1, "k", "full_gate", [("a", "one")]), (2, 1, "k", "ungated", [("a", "one")]), (3, 2, "k", "ungated", [("b", "two"), ("c", "three")])]
+    spark.createDataFrame([(p, r, c, o, e, "claim") for p, r, c, o, e in rows], "prediction_id long, record_index long, cohort string, policy string, evidence array<struct<id:string,text:string>>, claim string").write.parquet(f"{tmp_path}/predictions.parquet")
+    got = {(r["prediction_id"], r["condition"]): r["n_evidence"] for r in QUERIES["stressed_contexts"](spark, str(tmp_path)).collect()}
+    assert len(got) == 12 and got[1, "swapped_context"] == 2 and got[3, "swapped_context"] == 1 and got[3, "baseline"] == 2
+
+
 def test_pool_conflicts_and_families(spark):
     df = spark.createDataFrame([(1, "A  b", "x"), (2, "a B", "y"), (3, " ", "x"), (4, None, None)], "i int, t string, l string")
     assert [r["text"] for r in G.pool(df, "t").collect()] == ["A  b"]

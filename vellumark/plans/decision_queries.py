@@ -256,9 +256,10 @@ def _donors(rows: DataFrame) -> DataFrame:
 
 @query()
 def stressed_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record's evidence under five conditions."""
-    rows = _shown(spark, sf_dir, "cohort", "policy").where("policy = 'full_gate'")
-    got = S.stressed_contexts(rows, "prediction_id", "cohort", "evidence")
+    """Every record's evidence under six conditions, a donor's evidence among them."""
+    rows = cut(_one_per_record(spark, sf_dir))
+    theirs = _donors(rows).join(rows.select(F.col("prediction_id").alias("donor"), F.col("evidence").alias("swapped")), "donor").select("prediction_id", "swapped")
+    got = S.stressed_contexts(rows.join(theirs, "prediction_id", "left"), "prediction_id", "cohort", "evidence", "swapped")
     return got.select("prediction_id", "condition", F.size("evidence").alias("n_evidence"), F.sha2(F.array_join(F.transform("evidence", lambda e: X.text(e["text"])), "\n"), 256).alias("digest"))
 
 
