@@ -45,6 +45,15 @@ def test_swapped_contexts_of_every_record(spark, tmp_path):
     assert len(got) == 12 and got[1, "swapped_context"] == 2 and got[3, "swapped_context"] == 1 and got[3, "baseline"] == 2
 
 
+def test_keys_of_many_policies_are_expected(spark, tmp_path):
+    from vellumark.plans.decision_queries import QUERIES
+
+    rows = [(i, 1, f"p{i}") for i in range(100)] + [(100, 2, "p0")]
+    spark.createDataFrame(rows, "prediction_id long, record_index long, policy string").write.parquet(f"{tmp_path}/predictions.parquet")
+    got = {(r["record_index"], r["policy"], r["problem"]) for r in QUERIES["expected_keys"](spark, str(tmp_path)).collect()}
+    assert got == {(2, f"p{i}", "missing") for i in range(1, 100)}
+
+
 def test_pool_conflicts_and_families(spark):
     df = spark.createDataFrame([(1, "A  b", "x"), (2, "a B", "y"), (3, " ", "x"), (4, None, None)], "i int, t string, l string")
     assert [r["text"] for r in G.pool(df, "t").collect()] == ["A  b"]

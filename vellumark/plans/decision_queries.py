@@ -401,8 +401,9 @@ SELECT r.record_index, p.policy, CASE WHEN h.n IS NULL THEN 'missing' ELSE 'repe
 def expected_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records without one prediction of every policy."""
     p = load(spark, sf_dir, "predictions", "prediction_id", "record_index", "policy").distinct()
-    policies = [r[0] for r in p.where("policy is not null").select("policy").distinct().limit(64).collect()]
-    want = p.select("record_index").distinct().select("record_index", F.explode(F.array(*map(F.lit, policies)) if policies else F.array().cast("array<string>")).alias("policy"))
+    policies = cut(p.where("policy is not null").select("policy").distinct())
+    few = policies.count() <= 10_000
+    want = p.select("record_index").distinct().crossJoin(F.broadcast(policies) if few else policies)
     return V.expected_keys(p, ["record_index", "policy"], want)
 
 
