@@ -83,3 +83,13 @@ def test_running_sums_equal_single_windows():
     n = np.random.default_rng(0).integers(0, 2**63, 40).astype(np.uint64)
     assert all(simhashes(n, 12)[i] == simhashes(n[i : i + 12], 12)[0] for i in range(29))
     assert weighted_similarity(n[:12], n[:12]) == 1 and weighted_similarity(n[:12], n[20:32]) == 0
+
+
+def test_report_keeps_split_side_and_unknown_cohorts(spark, tmp_path):
+    from vellumark.llm.queries import QUERIES
+
+    p = [(1, "one two three four", "c"), (2, "one two three four", None), (3, "quite another", "c")]
+    spark.createDataFrame(p, PREDICTIONS).write.parquet(f"{tmp_path}/predictions.parquet")
+    spark.createDataFrame([(7, [1], [2, 9]), (8, [3], [2])], f"split_id long, {SPLIT}").write.parquet(f"{tmp_path}/split_result.parquet")
+    got = {(r["split_id"], r["side"], r["cohort"]): (r["n_records"], r["n_overlapping"], r["n_pairs"]) for r in QUERIES["p7_report"](spark, str(tmp_path)).collect()}
+    assert got == {(7, "train", "c"): (1, 1, 1), (7, "validation", None): (2, 1, 1), (8, "train", "c"): (1, 0, 0), (8, "validation", None): (1, 1, 1)}

@@ -10,7 +10,7 @@ from vellumark.llm.consistent import texts_query, with_consistent
 from vellumark.llm.garbled import Garbled
 from vellumark.llm.leaks import leaked
 from vellumark.llm.mixture import Mixture
-from vellumark.llm.overlap import Overlaps, sides
+from vellumark.llm.overlap import Overlaps
 from vellumark.llm.pairs import defects, project_pairs
 from vellumark.llm.splits import assign_splits, related_records, split_report
 from vellumark.tables import cut, load
@@ -75,12 +75,21 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validation records per cohort, how many overlap with train records, and their mean coverage."""
-    over = _overlaps(spark, sf_dir).coverage()
-    val = sides(load(spark, sf_dir, "split_result", "train_indices", "validation_indices")).where("in_validation").select("record_index")
-    cohort = load(spark, sf_dir, "predictions", "record_index", "cohort").where("cohort is not null").groupBy("record_index").agg(F.min("cohort").alias("cohort"))
-    return val.join(cohort, "record_index").join(over, "record_index", "left").groupBy("cohort").agg(
-        F.count(F.lit(1)).alias("n_validation"), F.count("coverage").alias("n_overlapping"), F.round(F.avg("coverage"), 6).alias("mean_coverage")
+    """Per split, side and cohort (null where unknown): records, those that overlap with the other side of any split, their pairs and mean coverage."""
+    overlaps = _overlaps(spark, sf_dir)
+    split = load(spark, sf_dir, "split_result", "split_id", "train_indices", "validation_indices")
+    side = lambda s: split.select("split_id", F.lit(s).alias("side"), F.explode(f"{s}_indices").alias("record_index"))
+    listed = side("train").unionByName(side("validation")).where("record_index is not null").distinct()
+    cohort = load(spark, sf_dir, "predictions", "record_index", "cohort").groupBy("record_index").agg(F.min("cohort").alias("cohort"))
+    train = overlaps.records.where("in_train").select(F.col("word_set").alias("train_set"), F.col("record_index").alias("t"))
+    val = overlaps.records.where("in_validation").select(F.col("word_set").alias("eval_set"), F.col("record_index").alias("v"))
+    pairs = cut(overlaps.pairs.select("train_set", "eval_set").join(train, "train_set").join(val, "eval_set").where("t <> v").select("t", "v").distinct())
+    of = lambda s, c: pairs.groupBy(F.col(c).alias("record_index")).agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(s))
+    met = of("train", "t").unionByName(of("validation", "v"))
+    over = overlaps.coverage().select("record_index", "coverage", F.lit("validation").alias("side"))
+    rows = listed.join(cohort, "record_index", "left").join(met, ["record_index", "side"], "left").join(over, ["record_index", "side"], "left")
+    return rows.groupBy("split_id", "side", "cohort").agg(
+        F.count(F.lit(1)).alias("n_records"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.round(F.avg("coverage"), 6).alias("mean_coverage")
     )
 
 
