@@ -1,7 +1,9 @@
+import duckdb
 from pyspark.sql import functions as F
 
 from vellumark.operators.hierarchy import descendants, provenance_trees, trees
 from vellumark.operators.packed import ADDRESS, IDENTIFIER, split_packed, unpack
+from vellumark.plans.data_queries import SQL
 
 
 def values(spark, texts, starts):
@@ -21,6 +23,37 @@ def test_addresses_keep_punctuation_and_inner_addresses(spark):
     assert values(spark, texts, ADDRESS) == [[one, two], [one, two], [one, two], [one], [two, one]]
 
 
+ODD = {
+    "https://x.org/o'brien/a": ["https://x.org/o'brien/a"],
+    'https://a.org/x"y': ['https://a.org/x"y'],
+    "https://x.org/wiki/Foo_(bar); https://b.org/": ["https://x.org/wiki/Foo_(bar)", "https://b.org/"],
+    "(https://x.org/Foo_(bar))": ["https://x.org/Foo_(bar)"],
+    "(https://a.org/x), (https://b.org/y)": ["https://a.org/x", "https://b.org/y"],
+    '["https://a.org/f_(1)", "https://a.org/2"]': ["https://a.org/f_(1)", "https://a.org/2"],
+    "see https://a.org/1 (scan), https://b.org/a;v=1,f=2;;": ["https://a.org/1", "https://b.org/a;v=1,f=2"],
+    "'https://a.org/o'b', 'https://b.org/'": ["https://a.org/o'b", "https://b.org/"],
+    '"[""https://a.org/1"",""https://a.org/2""]"': ["https://a.org/1", "https://a.org/2"],
+    "https://a.org/[1]": ["https://a.org/[1]"],
+    '"https://a.org/a b";"https://b.org"': ["https://a.org/a b", "https://b.org"],
+    'https://a.org/?q="x"': ['https://a.org/?q="x"'],
+    "https://a.org/x'": ["https://a.org/x'"],
+}
+
+
+def test_no_character_of_an_address_is_lost(spark):
+    assert values(spark, list(ODD), ADDRESS) == list(ODD.values())
+
+
+def test_the_sql_twin_keeps_them_too():
+    con = duckdb.connect()
+    con.execute("CREATE TABLE tesla_claims_pilot_v0_1 (claim_id VARCHAR, source_urls VARCHAR)")
+    con.execute("CREATE TABLE tesla_phase1b_verdicts_v0_1 (claim_id VARCHAR, decisive_evidence_ids VARCHAR, provenance_family_ids VARCHAR)")
+    con.execute("CREATE TABLE tesla_phase1b_search_log_v0_1 (execution_id VARCHAR, evidence_ids VARCHAR)")
+    con.executemany("INSERT INTO tesla_claims_pilot_v0_1 VALUES (?, ?)", [(str(i), t) for i, t in enumerate(ODD)])
+    rows = con.sql(f"SELECT source_key, list(field_value ORDER BY value_position) FROM ({SQL['p3_found']}) GROUP BY ALL").fetchall()
+    assert [v for _, v in sorted(rows, key=lambda r: int(r[0]))] == list(ODD.values())
+
+
 def test_nothing_in_null_blank_and_delimiters(spark):
     assert values(spark, [None, "", " ", ";", "[]", '""', "n/a; none"], IDENTIFIER) == [[]] * 7
 

@@ -65,12 +65,26 @@ FROM ids i LEFT JOIN walk w ON w.id = i.id""",
 parts AS (SELECT id, depth, unnest(string_split(path, '/')) AS ancestor, generate_subscripts(string_split(path, '/'), 1) AS i FROM walk)
 SELECT ancestor AS evidence_id, id AS descendant_id, CAST(depth - i + 1 AS INTEGER) AS distance FROM parts WHERE i <= depth""",
 }
+# The twin cuts where a value begins, and takes off a value's own wrappers afterwards.
 _VALUE = {ADDRESS: r"https?://", IDENTIFIER: r"(?:EVID|PF)-"}
-SQL["p3_found"] = " UNION ALL ".join(
-    rf"""SELECT '{t}' AS source_table, source_key, '{f}' AS field_name, CAST(value_position AS INTEGER) AS value_position, field_value FROM (
-  SELECT source_key, unnest(parts) AS field_value, generate_subscripts(parts, 1) AS value_position FROM (
-    SELECT source_key, list_filter(list_transform(string_split(regexp_replace(chr(10) || packed, '(?:\s+/\s+|[;,|、；\s\[\]{{}}()"''])+({_VALUE[s]})', chr(1) || '\1', 'g'), chr(1)),
-             lambda x: regexp_replace(x, '[;,|、；\s\[\]{{}}()"'']+$', '')), lambda x: regexp_matches(x, '^{_VALUE[s]}')) AS parts
-    FROM (SELECT DISTINCT {k} AS source_key, {f} AS packed FROM {t} WHERE {f} IS NOT NULL)))"""
-    for t, k, f, s in PACKED
-)
+_UNPACKED = r"""SELECT '@table' AS source_table, source_key, '@field' AS field_name, CAST(i AS INTEGER) AS value_position,
+  CASE WHEN lead LIKE '%"' AND v LIKE '%"' OR lead LIKE '%''' AND v LIKE '%''' OR lead LIKE '%(' AND v LIKE '%)' AND len(replace(v, ')', '')) < len(replace(v, '(', ''))
+    OR lead LIKE '%[' AND v LIKE '%]' AND v NOT LIKE '%[%' OR lead LIKE '%{' AND v LIKE '%}' AND v NOT LIKE '%{%' THEN v[:-2] ELSE v END AS field_value
+FROM (SELECT source_key, i, regexp_extract(x, '^[\["''{(]*') AS lead,
+    regexp_replace(CASE WHEN whole OR regexp_matches(x, '^[\[{(]*["'']') THEN y ELSE regexp_replace(y, '(?s)\s.*$', '') END, '[@gap]+$', '') AS v
+  FROM (SELECT source_key, whole, i, x, regexp_replace(regexp_replace(x, '^[\["''{(]+', ''), '[@gap]+$', '') AS y
+    FROM (SELECT source_key, whole, unnest(xs) AS x, generate_subscripts(xs, 1) AS i
+      FROM (SELECT source_key, whole, list_filter(string_split(regexp_replace(t, '(^|[@gap])([\["''{(]*@value)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_matches(x, '^[\["''{(]*@value')) AS xs
+        FROM (SELECT source_key, whole, CASE WHEN starts_with(t, '[') AND ends_with(t, ']') AND len(replace(t, '[', '')) = len(replace(t, ']', ''))
+                OR starts_with(t, '{') AND ends_with(t, '}') AND len(replace(t, '{', '')) = len(replace(t, '}', '')) THEN t[2:-2] ELSE t END AS t
+          FROM (SELECT source_key, q AS whole, CASE WHEN q OR regexp_matches(t, '^"[\[{].*[\]}]"$') THEN t[2:-2] ELSE t END AS t
+            FROM (SELECT *, regexp_matches(t, '^"[^"]*"$') OR regexp_matches(t, '^''[^'']*''$') AS q
+              FROM (SELECT DISTINCT @key AS source_key, regexp_replace(regexp_replace(@field, '"{2,}', '"', 'g'), '^[@gap]+|[@gap]+$', '', 'g') AS t FROM @table WHERE @field IS NOT NULL))))))))"""
+
+
+def _unpacked(table: str, key: str, field: str, starts: str) -> str:
+    named = {"table": table, "key": key, "field": field, "value": _VALUE[starts], "gap": r";,|、；\s"}
+    return reduce(lambda sql, x: sql.replace("@" + x[0], x[1]), named.items(), _UNPACKED)
+
+
+SQL["p3_found"] = " UNION ALL ".join(_unpacked(*p) for p in PACKED)
