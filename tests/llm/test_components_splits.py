@@ -1,9 +1,12 @@
 import random
+from itertools import product
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from vellumark.llm.components import components, match_groups, tie_by_key
-from vellumark.llm.splits import allot, assign_splits, related_records, split_report
+from vellumark.llm.splits import _Class, allot, assign_splits, related_records, split_report
 
 
 def brute(pairs):
@@ -73,14 +76,39 @@ def test_related_records(spark):
     assert related_records(spark.createDataFrame([], PREDICTIONS), spark.createDataFrame([], SPLIT)).count() == 0
 
 
-def test_allot_is_whole_and_near(spark):
-    bundles = [(1, ("a",), 101), (2, ("a",), 33), (7, ("b",), 5), (50, ("b",), 1)]
+def test_allot_is_whole_and_near():
+    bundles = [(1, (("a", 1),), 101), (2, (("a", 1), ("b", 1)), 33), (7, (("b", 7),), 5), (50, (("b", 50),), 1)]
     shares = [0.7, 0.15, 0.15]
     got = allot(bundles, shares)
     assert [sum(g) for g in got] == [n for _, _, n in bundles]
     total = sum(s * n for s, _, n in bundles)
     for j, share in enumerate(shares):
-        assert abs(sum(b[0] * g[j] for b, g in zip(bundles, got, strict=True)) / total - share) < 0.05
+        assert abs(sum(b[0] * g[j] for b, g in zip(bundles, got, strict=True)) / total - share) < 0.01
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 4), min_size=1, max_size=4), st.lists(st.integers(-6, 12), min_size=3, max_size=3), st.randoms(use_true_random=False))
+def test_one_size_is_solved_to_the_optimum(numbers, goals, rnd):
+    shares, goals = [0.6, 0.25, 0.15], [g / 2 for g in goals]
+    extra = [[round(rnd.uniform(-0.5, 0.5), 2) for _ in shares] for _ in numbers]
+
+    def cost(x):
+        own = sum(abs(v - n * p) + v * e for row, n, es in zip(x, numbers, extra, strict=True) for v, p, e in zip(row, shares, es, strict=True))
+        return own + 2 * sum(abs(sum(row[j] for row in x) - g) for j, g in enumerate(goals))
+
+    ways = [[(a, b, n - a - b) for a in range(n + 1) for b in range(n + 1 - a)] for n in numbers]
+    got = _Class(numbers, shares, goals, extra).solve()
+    assert [sum(row) for row in got] == numbers and min(map(min, got)) >= 0
+    assert cost(got) == pytest.approx(min(map(cost, product(*ways))))
+
+
+def test_many_bundles_and_a_giant_group():
+    bundles = [(5, (("a", i),), 1 + i % 3) for i in range(20_000)] + [(90_000, (("a", 90_000),), 1)]
+    shares = [0.7, 0.15, 0.15]
+    got = allot(bundles, shares)
+    total = sum(s * n for s, _, n in bundles)
+    assert [sum(g) for g in got] == [n for _, _, n in bundles]
+    assert all(abs(sum(b[0] * g[j] for b, g in zip(bundles, got, strict=True)) - total * p) <= 5 for j, p in enumerate(shares))
 
 
 def test_splits_keep_groups_and_proportions(spark):

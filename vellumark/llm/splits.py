@@ -1,14 +1,17 @@
 """Splits that keep related records together.
 
 Groups are the connected components of records that share a claim, an evidence id or a declared group. Components of
-the same size and label profile form a bundle; a min-cost flow with deviation costs shares the components of all bundles out to the
-splits in whole numbers, and a seeded hash decides which component of a bundle goes where. Only bundles (sizes × profiles,
-not components) reach the driver.
+identical size and label profile form a bundle; a min-cost flow with deviation costs shares the components of all bundles out to
+the splits in whole numbers, and a seeded hash decides which component of a bundle goes where. Only bundles, never
+components, reach the driver: there are at most as many sizes as the square root of twice the records, and each size has as
+many profiles as ways to share it among the labels.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,11 +21,6 @@ from vellumark.llm.consistent import with_consistent
 from vellumark.tables import Cut
 
 PROPORTIONS = {"train": 0.7, "validation": 0.15, "test": 0.15}
-#: Label profiles are told apart by the share of each label in steps of 1/PROFILE_STEPS, so bundles stay few.
-PROFILE_STEPS = 10
-#: Bundles that the driver takes; beyond it, small components are bundled by coarser profiles.
-MOST_BUNDLES = 200_000
-
 
 def claim_key(predictions: DataFrame) -> DataFrame:
     """(record_index, claim_key): the claim in consistent form, without case and with single blanks; blank claims give null."""
@@ -48,106 +46,138 @@ def related_records(predictions: DataFrame, split_result: DataFrame) -> DataFram
     return components(ties).select(F.col("node").alias("record_index"), F.col("group").alias("group_id"))
 
 
-class _Flow:
-    """Min-cost flow by successive shortest paths with potentials; arcs may have unit capacities and convex costs as parallel arcs."""
-
-    def __init__(self, n: int):
-        self.to: list[int] = []
-        self.cap: list[int] = []
-        self.cost: list[float] = []
-        self.out: list[list[int]] = [[] for _ in range(n)]
-
-    def arc(self, a: int, b: int, cap: int, cost: float) -> int:
-        for x, y, c, w in ((a, b, cap, cost), (b, a, 0, -cost)):
-            self.out[x].append(len(self.to))
-            self.to.append(y)
-            self.cap.append(c)
-            self.cost.append(w)
-        return len(self.to) - 2
-
-    def send(self, s: int, t: int) -> None:
-        n, far = len(self.out), float("inf")
-        potential = [0.0] * n
-        for _ in range(n):  # arcs may start with negative costs
-            changed = False
-            for a in range(n):
-                for e in self.out[a]:
-                    if self.cap[e] > 0 and potential[a] + self.cost[e] < potential[self.to[e]] - 1e-12:
-                        potential[self.to[e]] = potential[a] + self.cost[e]
-                        changed = True
-            if not changed:
-                break
+class _Class:
+    """Min-cost flow of one size's components from their bundles through the splits to the sink.
+
+    Arcs from bundles to splits, and from splits to the sink, have convex costs, so the residual network is kept in terms of single
+    moves: what one more, or one less, component of a bundle in a split costs. Each bundle begins at its own cheapest shares, which
+    leaves no negative cycle among bundles. Then the cheapest cycle through the sink, found over the splits with the cheapest
+    bundle for each pair of them, is used as far as its costs stay the same, until none is negative: that is the optimum.
+    """
+
+    def __init__(self, numbers: list[int], shares: list[float], goals: list[float], labels: list[list[float]], total_cost: float = 2.0):
+        """numbers: components per bundle; goals: components that each split lacks; labels: per bundle, a component's further cost in each split."""
+        self.k = range(len(shares))
+        self.quota = [[n * p for p in shares] for n in numbers]
+        self.extra, self.goals, self.weight = labels, goals, total_cost
+        self.x = [[int(q + 1e-9) for q in qs] for qs in self.quota]
+        for b, n in enumerate(numbers):
+            for _ in range(n - sum(self.x[b])):
+                self.x[b][min(self.k, key=lambda j: (self.up(b, j)[0], j))] += 1
+            while True:
+                cost, i, j = min((self.down(b, i)[0] + self.up(b, j)[0], i, j) for i in self.k for j in self.k if i != j) if len(shares) > 1 else (0.0, 0, 0)
+                if cost > -1e-9:
+                    break
+                self.x[b][i] -= 1
+                self.x[b][j] += 1
+        self.totals = [sum(row[j] for row in self.x) for j in self.k]
+        self.version = [0] * len(numbers)
+        self.heaps: dict[tuple[int, int], list] = {(i, j): [] for i in self.k for j in self.k if i != j}
+        for b in range(len(numbers)):
+            self._push(b, heapify=False)
+        for h in self.heaps.values():
+            heapq.heapify(h)
+
+    @staticmethod
+    def _more(x: int, q: float) -> tuple[float, float]:
+        """How |x - q| changes with one more, and how many more keep that change."""
+        below = math.floor(q + 1e-9)
+        if x < below:
+            return -1.0, below - x
+        if x == below and q > below + 1e-9:
+            return 2 * below + 1 - 2 * q, 1
+        return 1.0, float("inf")
+
+    @staticmethod
+    def _less(x: int, q: float) -> tuple[float, float]:
+        above = math.ceil(q - 1e-9)
+        if x > above:
+            return -1.0, x - above
+        if x == above and q < above - 1e-9:
+            return 2 * q - 2 * above + 1, 1
+        return 1.0, float("inf")
+
+    def up(self, b: int, j: int) -> tuple[float, float]:
+        cost, run = self._more(self.x[b][j], self.quota[b][j])
+        return cost + self.extra[b][j], run
+
+    def down(self, b: int, j: int) -> tuple[float, float]:
+        if not self.x[b][j]:
+            return float("inf"), 0
+        cost, run = self._less(self.x[b][j], self.quota[b][j])
+        return cost - self.extra[b][j], min(run, self.x[b][j])
+
+    def _push(self, b: int, heapify: bool = True) -> None:
+        for (i, j), h in self.heaps.items():
+            cost = self.down(b, i)[0] + self.up(b, j)[0]
+            if cost < float("inf"):
+                h.append((cost, b, self.version[b])) if not heapify else heapq.heappush(h, (cost, b, self.version[b]))
+
+    def _cheapest(self, i: int, j: int) -> tuple[float, int]:
+        h = self.heaps[i, j]
+        while h and h[0][2] != self.version[h[0][1]]:
+            heapq.heappop(h)
+        return (h[0][0], h[0][1]) if h else (float("inf"), -1)
+
+    def solve(self) -> list[list[int]]:
+        k, w = self.k, self.weight
         while True:
-            dist, via = [far] * n, [-1] * n
-            dist[s] = 0.0
-            queue = [(0.0, s)]
-            while queue:
-                d, a = heapq.heappop(queue)
-                if d > dist[a]:
-                    continue
-                for e in self.out[a]:
-                    b = self.to[e]
-                    step = d + self.cost[e] + potential[a] - potential[b]
-                    if self.cap[e] > 0 and step < dist[b] - 1e-12:
-                        dist[b], via[b] = step, e
-                        heapq.heappush(queue, (step, b))
-            if dist[t] == far:
-                return
-            potential = [p + (d if d < far else 0) for p, d in zip(potential, dist, strict=True)]
-            amount, b = 1 << 60, t
-            while b != s:
-                amount, b = min(amount, self.cap[via[b]]), self.to[via[b] ^ 1]
-            b = t
-            while b != s:
-                self.cap[via[b]] -= amount
-                self.cap[via[b] ^ 1] += amount
-                b = self.to[via[b] ^ 1]
+            moves = {p: self._cheapest(*p) for p in self.heaps}
+            dist = {p: (c, [(p, b)]) for p, (c, b) in moves.items()}
+            for m in k:
+                for i in k:
+                    for j in k:
+                        if len({i, j, m}) == 3 and dist[i, m][0] + dist[m, j][0] < dist[i, j][0] - 1e-9:
+                            dist[i, j] = (dist[i, m][0] + dist[m, j][0], dist[i, m][1] + dist[m, j][1])
+            best, path, ends = -1e-9, None, None
+            for (i, j), (cost, steps) in dist.items():
+                less, more = self._less(self.totals[i], self.goals[i]), self._more(self.totals[j], self.goals[j])
+                if cost + w * (less[0] + more[0]) < best:
+                    best, path, ends = cost + w * (less[0] + more[0]), steps, (less[1], more[1])
+            if path is None:
+                return self.x
+            amount = min(*ends, *(min(self.down(b, i)[1], self.up(b, j)[1]) for (i, j), b in path))
+            amount = 1 if len({b for _, b in path}) < len(path) else int(amount)
+            for (i, j), b in path:
+                self.x[b][i] -= amount
+                self.x[b][j] += amount
+            self.totals[path[0][0][0]] -= amount
+            self.totals[path[-1][0][1]] += amount
+            for b in {b for _, b in path}:
+                self.version[b] += 1
+                self._push(b)
 
 
 def allot(bundles: list[tuple[int, tuple, int]], shares: list[float]) -> list[list[int]]:
     """How many of each bundle's components go to each split.
 
-    bundles: (size, profile, components). First each split gets the whole part of its quota of each bundle. The few components left over
-    (fewer than there are splits, per bundle) are placed by a min-cost flow per component size, largest first: a component's cost in a
-    split is how far it moves the split's records, and its records of the component's profile, from their targets.
+    bundles: (size, profile, components); a profile is the number of a component's records of each label, as (label, number) pairs. The
+    components of one size are units of one min-cost flow, and sizes are solved from the largest down. Deviations cost: each bundle's from its
+    quota in every split; the splits' totals, of this and all greater sizes, from their shares (twice as much); and, half as much, what a
+    component adds to a split's deviation in its labels.
     """
     k = range(len(shares))
-    given = [[int(n * p) for p in shares] for _, _, n in bundles]
-    total = [0.0] * len(shares)
-    goal = [0.0] * len(shares)
-    short: dict[tuple, list[float]] = {}
-    for (size, profile, n), g in zip(bundles, given, strict=True):
-        part = short.setdefault(profile, [0.0] * len(shares))
-        for j in k:
-            goal[j] += size * n * shares[j]
-            total[j] += size * g[j]
-            part[j] += size * (n * shares[j] - g[j])
+    given: list[list[int]] = [[] for _ in bundles]
+    lack = [0.0] * len(shares)
+    short: dict[str, list[float]] = {}
     sizes: dict[int, list[int]] = {}
     for i, (size, _, _) in enumerate(bundles):
         sizes.setdefault(size, []).append(i)
     for size in sorted(sizes, reverse=True):
-        own = [(i, bundles[i][2] - sum(given[i])) for i in sizes[size]]
-        own = [(i, left) for i, left in own if left]
-        for at in range(0, len(own), 400):  # the flow of one size class is solved in parts of bounded size
-            part = own[at : at + 400]
-            flow, source, sink = _Flow(len(part) + len(shares) + 2), len(part) + len(shares), len(part) + len(shares) + 1
-            units = sum(left for _, left in part)
-            arcs = {}
-            for x, (i, left) in enumerate(part):
-                flow.arc(source, x, left, 0.0)
-                for j in k:
-                    lack = short[bundles[i][1]][j]
-                    arcs[x, j] = flow.arc(x, len(part) + j, left, (abs(lack - size) - abs(lack)) / size)
+        own = sizes[size]
+        for i in own:
+            _, profile, n = bundles[i]
+            for j in k:
+                lack[j] += size * n * shares[j]
+                for label, c in profile:
+                    short.setdefault(label, [0.0] * len(shares))[j] += c * n * shares[j]
+        labels = [[sum(abs(short[label][j] - c) - abs(short[label][j]) for label, c in bundles[i][1]) / (2 * size) for j in k] for i in own]
+        for i, x in zip(own, _Class([bundles[i][2] for i in own], shares, [v / size for v in lack], labels).solve(), strict=True):
+            given[i] = x
             for j in k:
-                for u in range(units):
-                    lack = goal[j] - total[j] - u * size
-                    flow.arc(len(part) + j, sink, 1, 2 * (abs(lack - size) - abs(lack)) / size + 1e-6 * u)
-            flow.send(source, sink)
-            for (x, j), e in arcs.items():
-                used, i = flow.cap[e ^ 1], part[x][0]
-                given[i][j] += used
-                total[j] += used * size
-                short[bundles[i][1]][j] -= used * size
+                lack[j] -= size * x[j]
+                for label, c in bundles[i][1]:
+                    short[label][j] -= c * x[j]
     return given
 
 
@@ -163,23 +193,12 @@ def assign_splits(records: DataFrame, groups: DataFrame, record: str, label: str
     one = records.where(F.col(record).isNotNull()).groupBy(record).agg(F.coalesce(F.min(label), F.lit("")).alias("_label"))
     placed = Cut(one.join(groups, record, "left").select(record, F.coalesce("group_id", record).alias("group_id"), "_label"))
     counts = placed.df.groupBy("group_id", "_label").agg(F.count(F.lit(1)).alias("n"))
-    sized = counts.groupBy("group_id").agg(F.sum("n").alias("size"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("_label", "n")))).alias("by"))
-
-    def profiled(steps: int) -> DataFrame:
-        share = F.transform(F.map_entries("by"), lambda e: F.concat_ws(":", e["key"], F.round(steps * e["value"] / F.col("size")).cast("int").cast("string")))
-        return sized.select("group_id", "size", F.array_join(share, "|").alias("profile"))
-
-    steps = PROFILE_STEPS
-    while True:
-        bundled = Cut(profiled(steps))
-        per = bundled.df.groupBy("size", "profile").agg(F.count(F.lit(1)).alias("n"))
-        if steps <= 1 or per.count() <= MOST_BUNDLES:
-            break
-        steps //= 2
-        bundled.drop()
-    bundles = [(r["size"], (r["profile"],), r["n"]) for r in per.orderBy("size", "profile").collect()]
-    quota = allot(bundles, list(shares))
-    rows = [(s, p[0], *(sum(q[: j + 1]) for j in range(len(names)))) for (s, p, _), q in zip(bundles, quota, strict=True)]
+    by = F.array_sort(F.collect_list(F.struct("_label", "n")))
+    bundled = Cut(counts.groupBy("group_id").agg(F.sum("n").alias("size"), F.to_json(by).alias("profile")))
+    per = bundled.df.groupBy("size", "profile").agg(F.count(F.lit(1)).alias("n"))
+    bundles = [(r["size"], r["profile"], r["n"]) for r in per.orderBy("size", "profile").collect()]
+    quota = allot([(s, tuple((x["_label"], x["n"]) for x in json.loads(p)), n) for s, p, n in bundles], list(shares))
+    rows = [(s, p, *(sum(q[: j + 1]) for j in range(len(names)))) for (s, p, _), q in zip(bundles, quota, strict=True)]
     spark = records.sparkSession
     ends = spark.createDataFrame(rows or [(0, "", *[0] * len(names))], "size long, profile string, " + ", ".join(f"end{j} long" for j in range(len(names))))
     ranked = _rank_in_bundle(bundled.df, seed)
