@@ -1,11 +1,15 @@
 """Same or near-same records across splits.
 
-Method: evaluation claims, normalised and cut into shards of bounded size, become Aho–Corasick automata that scan all
-training claims. An automaton holds every distinct word of its shard between blanks. The intervals it matches in a
-training claim give the words the claim shares with each evaluation record; merged, they are that record's coverage.
-Candidates are found through rare words alone: of two word sets that share t of all their words, the first
-n - ceil(t n) + L words of each, in one order of all words, have L words in common (or all that t asks for). So no pair is lost
-and no pair is compared for its frequent words only.
+Method: Aho–Corasick automata over sharded, normalised evaluation passages scan all training claims. A claim's normal form is
+its distinct words in one order of all words (a hash's). Two claims of which the shorter part of all words differs, d words at
+most, have one of any d + 1 consecutive passages of the evaluation claim in common, word for word: so each evaluation claim is
+cut into so many passages, and a training claim in which none is found can't be similar enough. The matched intervals
+are merged into the part of the evaluation claim that is covered, and the words of both claims decide.
+
+A passage belongs to the shard of its rarest word, a training claim goes to the shards of its words only: work grows with the data
+and not with its square, and the training table is read once however many shards there are. Passages and claims of a shard
+come sorted through one shuffle; a task builds the automaton from the passages and streams the claims past it, and the claims
+of a large shard are spread over several copies of its passages.
 """
 
 from __future__ import annotations
@@ -14,7 +18,6 @@ import math
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,19 +26,22 @@ from pyspark.sql import types as T
 from vellumark.llm.consistent import with_consistent
 from vellumark.tables import Cut
 
-#: Evaluation word sets in one automaton.
-SHARD = 40_000
-#: Training word sets scanned in one task, where there are more than one for each core.
-SCANNED = 50_000
+#: Passages in one automaton, on average; training claims that one copy of it scans.
+SHARD, SCANNED = 400_000, 50_000
 #: A word in more than one of FREQUENT_SHARE sets counts as frequent: at most (words per set) x FREQUENT_SHARE words do.
 FREQUENT_SHARE = 2_000
-COMMON = 3
 WORD = re.compile(r"[^\W_]+")
 
 
+def hash_word(w: str) -> int:
+    import xxhash
+
+    return xxhash.xxh32_intdigest(w)
+
+
 def word_set(text: str | None) -> str:
-    """The distinct words of a text (runs of letters and digits in lower case), sorted, with single blanks; '' without words."""
-    return " ".join(sorted(set(WORD.findall((text or "").lower()))))
+    """The distinct words of a text (runs of letters and digits in lower case), in hash order, with single blanks; '' without words."""
+    return " ".join(sorted(set(WORD.findall((text or "").lower())), key=lambda w: (hash_word(w), w)))
 
 
 def word_sets(df: DataFrame, column: str) -> DataFrame:
@@ -49,92 +55,146 @@ def word_sets(df: DataFrame, column: str) -> DataFrame:
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("word_set", T.StringType())]))
 
 
-def _prefix(words: list[str], frequent: dict[str, int], similarity: float) -> list[str]:
-    words = sorted(words, key=lambda w: (frequent.get(w, 0), hash_word(w), w))
-    return words[: len(words) - math.ceil(similarity * len(words) - 1e-9) + COMMON]
-
+def most_differences(n: int, similarity: float) -> int:
+    """Words that may differ between a set of n words and another one that shares `similarity` of all their words."""
+    return math.floor(n / similarity - n + 1e-9)
+
+
+def passages(words: list[str], weight: dict[str, float], usual: float, similarity: float) -> list[tuple[int, int]]:
+    """(start, end) of most_differences + 1 consecutive passages that cover all words, about equally rare (weights are small for frequent words)."""
+    n, left = len(words), most_differences(len(words), similarity) + 1
+    weights = [weight.get(w, usual) for w in words]
+    out, start, total = [], 0, sum(weights)
+    while left:
+        end, share, have = start + 1, total / left, weights[start]
+        while n - end > left - 1 and (left == 1 or have + weights[end] / 2 <= share):
+            have += weights[end]
+            end += 1
+        end = n if left == 1 else end
+        out.append((start, end))
+        total -= have
+        start, left = end, left - 1
+    return out
 
-def hash_word(w: str) -> int:
-    import xxhash
 
-    return xxhash.xxh32_intdigest(w)
+class Shard:
+    """An automaton over the passages of one shard, each with the evaluation sets and places it stands at."""
 
+    def __init__(self, similarity: float):
+        self.similarity, self.sets, self.members, self.found = similarity, [], [], {}
+        self.auto = None
 
-class Shard:
-    """An automaton over the evaluation word sets of one shard, with the sets that hold each word among their rarest."""
+    def add(self, words: str, spans: list[tuple[int, int]]) -> None:
+        own = words.split(" ")
+        for a, b in spans:
+            self.found.setdefault(f" {' '.join(own[a:b])} ", []).append((len(self.sets), a, b))
+        self.sets.append(words)
+        self.members.append(frozenset(own))
 
-    def __init__(self, sets: list[str], frequent: dict[str, int], similarity: float):
+    def scan(self, text: str) -> list[tuple[str, int, int, int]]:
+        """(evaluation set, words in both, words in either, words covered by merged passages) of each set similar enough to a training set."""
         import ahocorasick
 
-        self.similarity, self.frequent, self.sets = similarity, frequent, sets
-        self.auto, number, self.members, lists = ahocorasick.Automaton(), {}, [], {}
-        for i, s in enumerate(sets):
-            own = s.split(" ")
-            for w in own:
-                if w not in number:
-                    number[w] = len(number)
-                    self.auto.add_word(f" {w} ", number[w])
-            self.members.append(frozenset(number[w] for w in own))
-            for w in _prefix(own, frequent, similarity):
-                lists.setdefault(number[w], []).append(i)
-        self.auto.make_automaton()
-        self.lists = {w: np.array(x, np.int64) for w, x in lists.items()}
-        self.sizes = np.array([len(m) for m in self.members])
-
-    def scan(self, text: str) -> list[tuple[int, int, int]]:
-        """(evaluation set, words in both, words in either) of each set that is similar enough to a training word set."""
-        padded, own = f" {text} ", text.split(" ")
-        hits = [(end, w) for end, w in self.auto.iter(padded)]
-        if not hits:
+        if self.auto is None:
+            self.auto = ahocorasick.Automaton()
+            for passage, where in self.found.items():
+                self.auto.add_word(passage, where)
+            self.auto.make_automaton()
+        if not self.found:
             return []
-        rare = set(_prefix(own, self.frequent, self.similarity))
-        starts = {w: padded[end - len(padded[:end].rpartition(" ")[2]) : end] for end, w in hits}
-        lists = [self.lists[w] for w, word in starts.items() if word in rare and w in self.lists]
-        if not lists:
-            return []
-        found, counts = np.unique(np.concatenate(lists), return_counts=True)
-        longer = np.maximum(self.sizes[found], len(own))
-        found = found[counts >= np.minimum(COMMON, np.ceil(self.similarity * longer - 1e-9))]
-        matched, out = frozenset(starts), []
-        for i in found.tolist():
-            both = len(matched & self.members[i])
+        matched: dict[int, list[tuple[int, int]]] = {}
+        for _, where in self.auto.iter(f" {text} "):
+            for i, a, b in where:
+                matched.setdefault(i, []).append((a, b))
+        own, out = frozenset(text.split(" ")) if matched else frozenset(), []
+        for i, spans in matched.items():
+            small, large = sorted((len(own), len(self.members[i])))
+            if small < self.similarity * large - 1e-9:
+                continue
+            both = len(own & self.members[i])
             either = len(own) + len(self.members[i]) - both
             if both >= self.similarity * either - 1e-9:
-                out.append((i, both, either))
+                out.append((self.sets[i], both, either, covered(spans)))
         return out
 
 
+def covered(spans: list[tuple[int, int]]) -> int:
+    """Length of the union of intervals."""
+    total = end = 0
+    for a, b in sorted(spans):
+        total += max(0, b - max(a, end))
+        end = max(end, b)
+    return total
+
+
+_ROUTED = "shard int, salt int, kind int, word_set string, starts array<int>, ends array<int>"
+
+
 def similar_sets(train: DataFrame, evaluation: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(train_set, eval_set, n_both, n_either) of all pairs whose word sets share `similarity` of their words or more.
+    """(train_set, eval_set, n_both, n_either, n_covered) of all pairs whose word sets share `similarity` of their words or more.
 
-    Both inputs have one row per distinct word_set; empty sets match nothing.
+    Both inputs have one row per distinct word_set; empty sets match nothing. n_covered: words of the evaluation set inside the merged
+    passages that the training set holds in one of the shards.
     """
     spark = train.sparkSession
     train, ev = Cut(train.where("word_set <> ''").select("word_set")), Cut(evaluation.where("word_set <> ''").select("word_set"))
     n_train, n_ev = train.df.count(), ev.df.count()
-    n = n_train + n_ev
     counts = train.df.union(ev.df).select(F.explode(F.split("word_set", " ")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    frequent = {r["w"]: r["n"] for r in counts.where(F.col("n") > n // FREQUENT_SHARE + 1).collect()}
-    shards = max(1, math.ceil(n_ev / SHARD))
-    numbered = ev.df.withColumn("_shard", F.pmod(F.xxhash64("word_set"), F.lit(shards)))
-    out = None
-    for k in range(shards):
-        rows = [r[0] for r in numbered.where(F.col("_shard") == k).select("word_set").collect()]
-        held = spark.sparkContext.broadcast((rows, frequent))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            shard = Shard(*held.value, similarity) if held.value[0] else None
-            for b in batches:
-                cols: tuple[list, ...] = ([], [], [], [])
-                for t in b.column(0).to_pylist() if shard else ():
-                    for i, both, either in shard.scan(t):
-                        for c, v in zip(cols, (t, shard.sets[i], both, either), strict=True):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)], names=["train_set", "eval_set", "n_both", "n_either"])
-
-        part = train.df.repartition(max(spark.sparkContext.defaultParallelism, n_train // SCANNED)).mapInArrow(run, "train_set string, eval_set string, n_both int, n_either int")
-        out = part if out is None else out.unionByName(part)
-    return out
+    n = n_train + n_ev
+    frequent = {r["w"]: math.log(1 + n / r["n"]) for r in counts.where(F.col("n") > n // FREQUENT_SHARE + 1).collect()}
+    usual = math.log(1 + FREQUENT_SHARE)
+    held = spark.sparkContext.broadcast(frequent)
+    n_passages = ev.df.select(F.sum(F.floor(F.size(F.split("word_set", " ")) * F.lit(1 / similarity - 1) + 1e-9) + 1)).first()[0] or 0
+    shards = 1 + n_passages // SHARD
+    shard_of = lambda w: hash_word(w) % shards
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=["shard", "salt", "kind", "word_set", "starts", "ends"])
+
+    def route_train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            yield table([(s, hash_word(t) & 0x7FFFFFFF, 1, t, None, None) for t in texts for s in ({0} if shards == 1 else {shard_of(w) for w in t.split(" ")})])
+
+    def route_evaluation(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = held.value
+        for b in batches:
+            rows = []
+            for t in b.column(0).to_pylist():
+                own, by = t.split(" "), {}
+                for a, z in passages(own, weight, usual, similarity):
+                    rarest = max(own[a:z], key=lambda w: (weight.get(w, usual), hash_word(w)))
+                    by.setdefault(shard_of(rarest), []).append((a, z))
+                rows += [(s, 0, 0, t, [a for a, _ in spans], [z for _, z in spans]) for s, spans in by.items()]
+            yield table(rows)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, shard = None, None
+        for b in batches:
+            out: list[tuple] = []
+            for s, salt, kind, t, starts, ends in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (s, salt) != at:
+                    at, shard = (s, salt), Shard(similarity)
+                if kind == 0:
+                    shard.add(t, list(zip(starts, ends, strict=True)))
+                else:
+                    out += [(t, *x) for x in shard.scan(t)]
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["train_set", "eval_set", "n_both", "n_either", "n_covered"])
+
+    cores = spark.sparkContext.defaultParallelism
+    routed = train.df.repartition(max(cores, n_train // SCANNED)).mapInArrow(route_train, _ROUTED)
+    sizes = {0: n_train} if shards == 1 else {r[0]: r[1] for r in routed.groupBy("shard").count().collect()}
+    copies = [max(-(-cores // shards), -(-sizes.get(s, 0) // SCANNED)) for s in range(shards)]
+    first = [sum(copies[:s]) for s in range(shards)]
+    copies_of, first_of = (F.element_at(F.array(*map(F.lit, xs)), F.col("shard") + 1) for xs in (copies, first))
+    claims = routed.withColumn("salt", F.pmod("salt", copies_of).cast("int"))
+    held_passages = ev.df.mapInArrow(route_evaluation, _ROUTED).withColumn("salt", F.explode(F.sequence(F.lit(0), copies_of - 1)))
+    together = held_passages.unionByName(claims).repartitionById(sum(copies), (first_of + F.col("salt")).cast("int")).sortWithinPartitions("shard", "salt", "kind")
+    found = together.mapInArrow(scan, "train_set string, eval_set string, n_both int, n_either int, n_covered int")
+    # a pair may be found in several shards, by other passages in each
+    return found if shards == 1 else found.groupBy("train_set", "eval_set", "n_both", "n_either").agg(F.sum("n_covered").cast("int").alias("n_covered"))
 
 
 def sides(split_result: DataFrame) -> DataFrame:
@@ -165,8 +225,9 @@ class Overlaps:
         return pairs.select(F.least("t", "v").alias("record_index"), F.greatest("t", "v").alias("other_record_index")).distinct()
 
     def coverage(self) -> DataFrame:
-        """(record_index, n_train_sets, coverage) per validation record that overlaps: the greatest part of its words in one training claim."""
+        """(record_index, n_train_sets, coverage) per validation record that overlaps: how many training claims do, and the greatest part of
+        its words that passages of one of them cover."""
         words = F.size(F.split("eval_set", " "))
-        best = self.pairs.groupBy("eval_set").agg(F.count(F.lit(1)).alias("n_train_sets"), F.max(F.col("n_both") / words).alias("coverage"))
+        best = self.pairs.groupBy("eval_set").agg(F.count(F.lit(1)).alias("n_train_sets"), F.max(F.col("n_covered") / words).alias("coverage"))
         val = self.records.where("in_validation").select(F.col("word_set").alias("eval_set"), "record_index")
         return val.join(best, "eval_set").groupBy("record_index").agg(F.max("n_train_sets").alias("n_train_sets"), F.max("coverage").alias("coverage"))

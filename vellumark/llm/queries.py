@@ -75,7 +75,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per split, side and cohort (null where unknown): records, those that overlap with the other side of any split, their pairs and mean coverage."""
+    """Per split, side and cohort (null where unknown): records, those that overlap with the other side of any split, and their pairs."""
     overlaps = _overlaps(spark, sf_dir)
     split = load(spark, sf_dir, "split_result", "split_id", "train_indices", "validation_indices")
     side = lambda s: split.select("split_id", F.lit(s).alias("side"), F.explode(f"{s}_indices").alias("record_index"))
@@ -86,11 +86,13 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = cut(overlaps.pairs.select("train_set", "eval_set").join(train, "train_set").join(val, "eval_set").where("t <> v").select("t", "v").distinct())
     of = lambda s, c: pairs.groupBy(F.col(c).alias("record_index")).agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(s))
     met = of("train", "t").unionByName(of("validation", "v"))
-    over = overlaps.coverage().select("record_index", "coverage", F.lit("validation").alias("side"))
-    rows = listed.join(cohort, "record_index", "left").join(met, ["record_index", "side"], "left").join(over, ["record_index", "side"], "left")
-    return rows.groupBy("split_id", "side", "cohort").agg(
-        F.count(F.lit(1)).alias("n_records"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.round(F.avg("coverage"), 6).alias("mean_coverage")
-    )
+    rows = listed.join(cohort, "record_index", "left").join(met, ["record_index", "side"], "left")
+    return rows.groupBy("split_id", "side", "cohort").agg(F.count(F.lit(1)).alias("n_records"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
+
+
+def p7_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each overlapping validation record, the number of distinct training claims it overlaps with, and how much of it one of them covers."""
+    return _overlaps(spark, sf_dir).coverage()
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +100,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "heldout_items", "item_id", "text")).select("doc_id", "item_id").distinct()
 
 
+def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a whole held-out item word for word or nearly so (weighted five-word shingles similar to 0.8 or more)."""
+    documents, items = load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "heldout_items", "item_id", "text")
+    return leaked(documents, items, window=None, radius=14, similarity=0.8).distinct()
+
+
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each leaked item with the number of documents that hold it."""
     return p8_found(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
@@ -127,7 +135,7 @@ def p10_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _garbled(spark, sf_dir).repaired().select("doc_id", "chain", "restored")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p2_report, p5_found, p6_found, p6_consistent, p7_found, p7_report, p8_found, p8_items, p9_shares, p9_drawn, p10_found, p10_repaired)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p2_report, p5_found, p6_found, p6_consistent, p7_found, p7_report, p7_coverage, p8_found, p8_near, p8_items, p9_shares, p9_drawn, p10_found, p10_repaired)}
 
 SQL = {
     "p1_found": """WITH RECURSIVE known AS (SELECT DISTINCT record_index AS r FROM predictions),
@@ -174,7 +182,12 @@ SQL["p2_found"] = f"""WITH RECURSIVE {_CLAIMS}, k AS (
 m AS (SELECT k, min(r) AS h FROM k GROUP BY k HAVING count(DISTINCT r) > 1), e AS (SELECT DISTINCT k.r AS a, m.h AS b FROM k JOIN m USING (k) WHERE k.r <> m.h), w AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(a, b) AS (SELECT a, b FROM w UNION SELECT r.a, w.b FROM reach r JOIN w ON r.b = w.a)
 SELECT a AS record_index, least(a, min(b)) AS group_id FROM reach GROUP BY a"""
-SQL["p7_found"] = f"""WITH {_CLAIMS}, w AS (SELECT record_index, list_distinct(regexp_extract_all(lower(n), '[\\p{{L}}\\p{{N}}]+')) AS w FROM c),
+_OVERLAPS = f"""{_CLAIMS}, w AS (SELECT record_index, list_distinct(regexp_extract_all(lower(n), '[\\p{{L}}\\p{{N}}]+')) AS w FROM c),
 tr AS (SELECT DISTINCT unnest(train_indices) AS r FROM split_result), va AS (SELECT DISTINCT unnest(validation_indices) AS r FROM split_result),
-x AS (SELECT a.record_index AS a, b.record_index AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS s FROM w a JOIN tr ON tr.r = a.record_index, w b JOIN va ON va.r = b.record_index WHERE len(a.w) > 0 AND len(b.w) > 0 AND a.record_index <> b.record_index)
-SELECT DISTINCT least(a, b) AS record_index, greatest(a, b) AS other_record_index FROM x WHERE i >= 0.8 * (s - i) - 1e-9"""
+x AS (SELECT a.record_index AS a, b.record_index AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS s FROM w a JOIN tr ON tr.r = a.record_index, w b JOIN va ON va.r = b.record_index WHERE len(a.w) > 0 AND len(b.w) > 0 AND a.record_index <> b.record_index),
+p AS (SELECT DISTINCT a, b FROM x WHERE i >= 0.8 * (s - i) - 1e-9)"""
+SQL["p7_found"] = f"WITH {_OVERLAPS} SELECT DISTINCT least(a, b) AS record_index, greatest(a, b) AS other_record_index FROM p"
+SQL["p7_report"] = f"""WITH {_OVERLAPS}, met AS (SELECT a AS r, 'train' AS side, count(*) AS n FROM p GROUP BY a UNION ALL SELECT b, 'validation', count(*) FROM p GROUP BY b),
+listed AS (SELECT DISTINCT split_id, 'train' AS side, unnest(train_indices) AS r FROM split_result UNION SELECT split_id, 'validation', unnest(validation_indices) FROM split_result),
+k AS (SELECT record_index AS r, min(cohort) AS cohort FROM predictions GROUP BY record_index)
+SELECT split_id, side, cohort, count(*) AS n_records, count(n) AS n_overlapping, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_pairs FROM listed LEFT JOIN k USING (r) LEFT JOIN met USING (r, side) WHERE r IS NOT NULL GROUP BY ALL"""
