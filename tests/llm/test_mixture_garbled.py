@@ -1,7 +1,7 @@
 import random
 
 from vellumark.llm.garbled import Garbled, chains
-from vellumark.llm.mixture import Mixture, budgets, share_out, with_tokens
+from vellumark.llm.mixture import Mixture, budgets, share_out, weighted, with_tokens
 
 
 def test_share_out():
@@ -18,6 +18,28 @@ def test_shortage_goes_to_siblings_first():
     assert budgets(tree, 100) == {("a", "en"): 10, ("a", "de"): 20, ("b", "en"): 70}
 
 
+def test_three_levels_and_their_weights():
+    tree = weighted({"web": {"en": {"a": (0.3, 1000.0), "b": (0.1, 5.0)}, "de": {"a": (0.1, 1000.0)}}, "scan": {"en": {"c": (0.5, 20.0)}}})
+    assert tree["web"][0] == 0.5 and tree["web"][1]["en"][0] == 0.4
+    got = budgets(tree, 100)
+    # b lacks 5 and a in English, its sibling, takes them; c lacks 30 and the other domain takes them
+    assert got == {("web", "en", "a"): 59, ("web", "en", "b"): 5, ("web", "de", "a"): 16, ("scan", "en", "c"): 20}
+    assert sum(budgets(tree, 1e9).values()) == 2025
+
+
+def test_shortage_keeps_caps_and_sums(spark):
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choice(["stone", "mill", "river"]) for _ in range(rng.randrange(5, 40))), ["a", "a", "a", "b", "c"][i % 5], ["en", "de"][i % 2], None) for i in range(3000)]
+    t = [("m", "a", 0.2, 2), ("m", "b", 0.4, 2), ("m", "c", 0.4, 3)]
+    m = Mixture(spark.createDataFrame(docs, DOCS), spark.createDataFrame(t, TARGETS), fill=0.9, domains={"a": "x", "b": "x", "c": "y"})
+    drawn = m.drawn().toPandas()
+    size = drawn.n_tokens * drawn.repeats
+    supply = {r["source"]: r["t"] for r in m.sized.groupBy("source").sum("n_tokens").toDF("source", "t").collect()}
+    assert abs(size.sum() / (0.9 * (2 * supply["a"] + 2 * supply["b"] + 3 * supply["c"])) - 1) < 0.01
+    assert drawn.groupby("source").repeats.max().to_dict() == {"a": 2, "b": 2, "c": 3} and drawn.loc[drawn.source == "b", "repeats"].min() == 2
+    assert not drawn.duplicated("doc_id").any()
+
+
 DOCS, TARGETS = "doc_id long, text string, source string, lang string, mixture_id string", "mixture_id string, source string, target_share double, max_repeats int"
 
 

@@ -116,6 +116,12 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mixture(load(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"), load(spark, sf_dir, "mixture_targets")).shares()
 
 
+def p9_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares where each mixture takes nine tenths of all that its sources can supply: small sources fall short, and their
+    siblings stand in."""
+    return Mixture(load(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"), load(spark, sf_dir, "mixture_targets"), fill=0.9).shares()
+
+
 def p9_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents drawn for every mixture and how often each is repeated."""
     return Mixture(load(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"), load(spark, sf_dir, "mixture_targets")).drawn()
@@ -135,7 +141,7 @@ def p10_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _garbled(spark, sf_dir).repaired().select("doc_id", "chain", "restored")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p2_report, p5_found, p6_found, p6_consistent, p7_found, p7_report, p7_coverage, p8_found, p8_near, p8_items, p9_shares, p9_drawn, p10_found, p10_repaired)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_splits, p2_report, p5_found, p6_found, p6_consistent, p7_found, p7_report, p7_coverage, p8_found, p8_near, p8_items, p9_shares, p9_short, p9_drawn, p10_found, p10_repaired)}
 
 SQL = {
     "p1_found": """WITH RECURSIVE known AS (SELECT DISTINCT record_index AS r FROM predictions),
