@@ -109,3 +109,15 @@ def test_provenance_and_descendants(spark):
     t = provenance_trees(ev, ed)
     assert {(r["node"], r["path"]) for r in t.collect()} == {("EVID-1", "EVID-1"), ("EVID-2", "EVID-1/EVID-2"), ("EVID-3", "EVID-1/EVID-2/EVID-3")}
     assert {tuple(r) for r in descendants(t).collect()} == {("EVID-1", "EVID-2", 1), ("EVID-1", "EVID-3", 2), ("EVID-2", "EVID-3", 1)}
+
+
+def test_hub_is_salted_and_several_parents(spark, monkeypatch):
+    import vellumark.operators.hierarchy as h
+    import vellumark.tables as t
+
+    monkeypatch.setattr(t, "HOT_ROWS", 5)
+    monkeypatch.setattr(h, "SMALL_STEP", 3)
+    links = [(f"c{i:03d}", "hub") for i in range(60)] + [("hub", "top"), ("leaf", "c007"), ("leaf", "far"), ("far", "leaf2"), ("leaf2", "top"), ("last", "leaf")]
+    got = tree_of(spark, [], links)
+    assert got["c031"] == ("top", 2, "top/hub/c031") and len(got) == 66
+    assert got["leaf"] == ("top", 3, "top/hub/c007/leaf") and got["last"] == ("top", 4, "top/hub/c007/leaf/last") and got["far"] == ("top", 2, "top/leaf2/far")

@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumark.tables import Cut
+from vellumark.tables import Cut, hot_keys
 
 #: Links still to follow are sent to all executors when at most so many; more of them are joined by shuffling.
 SMALL_STEP = 20_000
+#: Copies of a parent's row where it has very many children.
+SALTS = 32
 #: Levels in one job: with shuffled links, and with links at hand.
 WIDE, DEEP = 4, 32
 
@@ -43,11 +45,19 @@ def trees(nodes: DataFrame, links: DataFrame) -> DataFrame:
     while width and left:
         small = left <= SMALL_STEP
         levels = (DEEP if small else WIDE) if one_parent else 1
-        step = F.broadcast(rest.df) if small else rest.df
+        hot = [] if small else hot_keys(rest.df, "at", rows=left)
+        step = F.broadcast(rest.df) if small else rest.df.withColumn("_salt", F.when(F.col("at").isin(hot), F.pmod(F.xxhash64("next"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
         at = front
         for _ in range(levels):
-            # a row that has no child stays as it is, so every node of the block lies on some row's path
-            at = at.join(step, F.col("node") == step["at"], "left").select(
+            # a row that has no child stays as it is, so every node of the block lies on some row's path; a parent of very many children
+            # is met by salted copies of its row, and a copy that finds no child only stays too
+            if small:
+                met = at.join(step, F.col("node") == step["at"], "left")
+            else:
+                salts = F.when(F.col("node").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+                copies = at.withColumn("_copy", F.explode(salts))
+                met = copies.join(step, (F.col("node") == step["at"]) & (F.col("_copy") == step["_salt"]), "left")
+            at = met.select(
                 F.coalesce("next", "node").alias("node"),
                 "root",
                 (F.col("depth") + F.col("next").isNotNull().cast("int")).alias("depth"),
@@ -58,14 +68,12 @@ def trees(nodes: DataFrame, links: DataFrame) -> DataFrame:
             F.element_at("_ids", F.col("depth") + 1).alias("node"), "root", "depth", F.array_join(F.slice("_ids", 1, F.col("depth") + 1), "/").alias("path")
         )
         block = block.groupBy("node").agg(F.min(F.struct("depth", "path", "root")).alias("s")).select("node", "s.root", "s.depth", "s.path")
-        if not one_parent:
-            for r in done:
-                block = block.join(r.df.select("node"), "node", "left_anti")
         new = Cut(block)
         done.append(new)
         base += levels
         front = new.df.where(F.col("depth") == base)
         width = front.count()
+        # links to nodes that were found are done with, so no node is found again later by a longer way
         trimmed = Cut(rest.df.join(new.df.select(F.col("node").alias("next")), "next", "left_anti").select("next", "at"))
         rest.drop()
         rest, left = trimmed, trimmed.df.count()
