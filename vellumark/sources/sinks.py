@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumark.functions.text import tokens
+from vellumark.tables import exists
 
 
 def write_once(df: DataFrame, path: str, kind: str = "parquet", **options: str) -> None:
@@ -45,10 +46,7 @@ def fill_cache(wanted: DataFrame, key: str, cache_path: str, compute) -> DataFra
     compute takes the rows without a value, one per key, and returns (key, value). Calling it again computes nothing new.
     """
     spark = wanted.sparkSession
-    try:
-        cache = spark.read.parquet(cache_path)
-    except Exception:  # no cache yet
-        cache = None
+    cache = spark.read.parquet(cache_path) if exists(spark, cache_path) else None
     need = wanted.where(F.col(key).isNotNull()).dropDuplicates([key])
     if cache is not None:
         need = need.join(cache.select(key), key, "left_anti")

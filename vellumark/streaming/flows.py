@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumark.functions.text import tokens
+from vellumark.tables import exists
 
 
 def event_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """(start, event_type, n, total) per window of event time; rows later than the watermark allows are dropped by the engine."""
+    """(start, event_type, n, total) per window of event time. In append mode a window comes out once the watermark has passed it, its state
+    goes, and later rows are dropped; in complete mode all windows stay and nothing is dropped."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
     w = timed.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return w.select(F.col("window.start").alias("start"), "event_type", "n", "total")
@@ -32,10 +34,8 @@ def upsert_into(path: str, key: str):
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates([key])
-        try:
+        if exists(spark, path):
             new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
-        except Exception:  # nothing there yet
-            pass
         new.write.mode("append").parquet(path)
 
     return write

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +22,14 @@ def load(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one of this process where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a session that runs in one process takes a temporary
+    folder of its own; on a cluster it is an error, because executors couldn't read it."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where:
         return where.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir is not set: {master} needs a folder that all executors share")
     key = id(spark.sparkContext)
     if key not in _LOCAL:
         _LOCAL[key] = "file://" + tempfile.mkdtemp(prefix="vellumark-")
@@ -37,10 +42,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone; a leftover file is no error
+    except (Py4JError, OSError, AttributeError):  # the session may be gone; a leftover file is no error
         pass
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 @atexit.register
 def _remove_all() -> None:
     for path, spark in list(_OWN.items()):
