@@ -6,34 +6,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumark.functions.text import normal_claim
-from vellumark.tables import Cut, fingerprint, hot_keys, join_on_unique, words
+from vellumark.tables import Cut, fingerprint, join_on_unique, words
+
+
+def _hung(edges: DataFrame, rows: int, both_ways: bool) -> DataFrame:
+    """Edges (u, v) with u > v, rewritten: with both_ways every greater neighbour of a node hangs on the least of the node and its neighbours,
+    else a node and its lesser neighbours hang on the least of these."""
+    ends = edges.select("u", "v")
+    if both_ways:
+        ends = ends.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = ends.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        hung = join_on_unique(ends, least, "u", rows=2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        least = ends.groupBy("u").agg(F.min("v").alias("m"))
+        hung = join_on_unique(ends, least, "u", rows=rows).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    return hung.where("u <> v").distinct()
+
+
+def edge_groups(edges: DataFrame) -> DataFrame:
+    """(u, v): each node of the edges (u, v) but the least of its group, with that least one. Ends may come in either order, repeat, be equal or
+    null. Rewritten edges are a written table each round, and the last round changes none."""
+    ends = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now = Cut(ends)
+    mark = fingerprint(now.df, "u", "v")
+    while mark[0]:
+        wide = Cut(_hung(now.df, mark[0], True))
+        now.drop()
+        now = Cut(_hung(wide.df, wide.df.count(), False))
+        wide.drop()
+        before, mark = mark, fingerprint(now.df, "u", "v")
+        if mark == before:
+            break
+    return now.df
 
 
 def linked_groups(rows: DataFrame, record: str, keys: list[Column]) -> DataFrame:
     """(record, group): records that share any of the keys, directly or through others; group is the least record.
 
-    Every record comes out; null and blank keys link nothing. Labels and keys take turns handing each other their least label, and
-    labels then follow each other's labels, so long chains shrink fast. Each round is a written table.
+    Every record comes out; null and blank keys link nothing. A key ties its records to the least of them, and only records that share a key
+    take part in the rounds that follow.
     """
     kind = F.explode(F.array(*(F.when(k.cast("string") != "", F.concat(F.lit(f"{i}:"), k.cast("string"))) for i, k in enumerate(keys))))
-    pairs = Cut(rows.select(F.col(record).alias("r"), kind.alias("k")).where("r is not null and k is not null").distinct())
-    everyone = Cut(rows.select(F.col(record).alias("r")).where("r is not null").distinct())
-    label = Cut(everyone.df.select("r", F.col("r").alias("g")))
-    n_pairs, hot = pairs.df.count(), {}
-    for key in ("r", "k"):  # the pairs stay the same, and so do their hot records and keys
-        hot[key] = hot_keys(pairs.df, key, rows=n_pairs)
-    mark = fingerprint(label.df, "r", "g")
-    while True:
-        by_key = join_on_unique(pairs.df, label.df, "r", hot=hot["r"]).groupBy("k").agg(F.min("g").alias("g"))
-        by_record = join_on_unique(pairs.df, by_key, "k", hot=hot["k"]).groupBy("r").agg(F.min("g").alias("m"))
-        stepped = Cut(label.df.join(by_record, "r", "left").select("r", F.least("g", F.coalesce("m", "g")).alias("g")))
-        onward = stepped.df.select(F.col("r").alias("g"), F.col("g").alias("h"))
-        jumped = Cut(join_on_unique(stepped.df, onward, "g", rows=mark[0]).select("r", F.col("h").alias("g")))
-        stepped.drop()
-        label.drop()
-        label, before, mark = jumped, mark, fingerprint(jumped.df, "r", "g")
-        if mark == before:
-            return label.df.select(F.col("r").alias(record), F.col("g").alias("group"))
+    pairs = Cut(rows.select(F.col(record).alias("u"), kind.alias("k")).where("u is not null and k is not null").distinct())
+    least = pairs.df.groupBy("k").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    group = edge_groups(join_on_unique(pairs.df, least, "k").select("u", "v"))
+    everyone = rows.select(F.col(record).alias("u")).where("u is not null").distinct()
+    return everyone.join(group, "u", "left").select(F.col("u").alias(record), F.coalesce("v", "u").alias("group"))
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -100,9 +118,7 @@ def near_duplicates(docs: DataFrame, doc: str, text: str, size: int = 5, similar
     links = near.join(left, "ra").join(right, "rb").where(both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9).select("ra", "rb")
     links = Cut(links).df
     ends = links.select(F.col("ra").alias("rep")).union(links.select("rb")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    edge = links.withColumn("_e", F.concat_ws("-", "ra", "rb"))
-    edge = edge.select(F.col("ra").alias("rep"), "_e").union(edge.select("rb", "_e"))
-    grouped = linked_groups(edge, "rep", [F.col("_e")])
+    grouped = edge_groups(links.select(F.col("ra").alias("u"), F.col("rb").alias("v"))).select(F.col("u").alias("rep"), F.col("v").alias("group"))
     rep_of = sets.join(copies.select("key", "rep"), "key", "left")
     out = rep_of.join(grouped, "rep", "left").join(ends, "rep", "left")
     return out.select(F.col("doc").alias(doc), F.coalesce("group", "rep", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -5,11 +5,11 @@ Scores are summed in the engine's order, so ranks go by the score rounded to nin
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,8 +50,8 @@ class Postings:
         """(query, doc, score, rank): the k best documents of each query by BM25; documents without a shared token never appear.
 
         A query's tokens count once; ties go to the lesser document. Document frequencies are counted for the queries' tokens alone. The
-        stated queries go to the executors in blocks of bounded size; documents pass through in Arrow batches, and only each batch's k best
-        per query leave it, so what is shuffled is batches × queries × k rows and not every scored pair.
+        stated queries go to the executors in blocks of bounded size; documents pass through in Arrow batches, and only each task's k best
+        per query leave it, so what is shuffled is tasks × queries × k rows and not every scored pair.
         """
         spark = self.listed.sparkSession
         asked = queries.select(F.col(query).alias("query"), F.array_distinct(tokens(text) if words is None else words).alias("_w")).where("query is not null")
@@ -77,35 +77,52 @@ class Postings:
 
 
 def _scorer(held, mean: float, k: int, query_type: T.DataType):
-    """A map over Arrow batches (doc, words) to each batch's k best (query, doc, score) of a block of queries."""
+    """A map over Arrow batches (doc, words) to a task's k best (query, doc, score) of a block of queries.
+
+    A batch's words are told apart once; each of them adds its weight to all its documents and queries at a time.
+    """
+
+    def scores(batch: pa.RecordBatch, lists: dict, n: int) -> np.ndarray:
+        out = np.zeros((batch.num_rows, n))
+        words = batch.column(1)
+        encoded = pc.list_flatten(words).dictionary_encode()
+        known = encoded.dictionary.to_pylist()
+        hit = np.array([w in lists for w in known], bool)
+        if not hit.any():
+            return out
+        codes, parent = encoded.indices.to_numpy(zero_copy_only=False), pc.list_parent_indices(words).to_numpy()
+        keep = hit[codes]
+        pairs, tf = np.unique(codes[keep].astype(np.int64) * batch.num_rows + parent[keep], return_counts=True)
+        length = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        doc = pairs % batch.num_rows
+        base = K1 * (1 - B + B * length / mean) if mean else np.full(batch.num_rows, K1)
+        weight = tf * (K1 + 1) / (tf + base[doc])
+        word, starts = np.unique(pairs // batch.num_rows, return_index=True)
+        for w, a, z in zip(word, starts, [*starts[1:], len(pairs)], strict=True):
+            queries, idf_ = lists[known[w]]
+            out[doc[a:z, None], queries] += weight[a:z, None] * idf_
+        return np.round(out, 9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, lists = held.value
-        kind = to_arrow_type(query_type)
-        names = pa.array(ids, kind)
+        names, best = pa.array(ids, to_arrow_type(query_type)), None
+        kind = None
         for whole in batches:
+            kind = whole.column(0).type
             for at in range(0, whole.num_rows, SCORED_TOGETHER):
                 batch = whole.slice(at, SCORED_TOGETHER)
-                score = np.zeros((batch.num_rows, len(ids)))
-                for i, words in enumerate(batch.column(1).to_pylist()):
-                    base = K1 * (1 - B + B * len(words or ()) / mean) if mean else K1
-                    for w, tf in Counter(words or ()).items():
-                        hit = lists.get(w)
-                        if hit is not None:
-                            score[i, hit[0]] += hit[1] * (tf * (K1 + 1) / (tf + base))
-                score = np.round(score, 9)
-                place = np.argsort(np.argsort(np.array(batch.column(0).to_pylist())), kind="stable") if batch.num_rows else np.empty(0, int)
-                queries, docs = [], []
-                for j in range(len(ids)):
-                    found = np.flatnonzero(score[:, j])
-                    if len(found) > 4 * k:  # all that tie with the k-th best stay for the exact order
-                        least = np.partition(score[found, j], len(found) - k)[len(found) - k]
-                        found = found[score[found, j] >= least]
-                    best = found[np.lexsort((place[found], -score[found, j]))[:k]]
-                    queries.append(np.full(len(best), j))
-                    docs.append(best)
-                q, d = (np.concatenate(x) if x else np.empty(0, int) for x in (queries, docs))
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(q, pa.int64())), batch.column(0).take(pa.array(d, pa.int64())), pa.array(score[d, q])], names=["query", "doc", "score"])
+                s, d = scores(batch, lists, len(ids)), np.array(batch.column(0).to_pylist())
+                place = np.argsort(d, kind="stable")
+                first = np.argsort(-s[place], axis=0, kind="stable")[:k]
+                s, d = np.take_along_axis(s[place], first, 0), d[place][first]
+                if best is not None:
+                    s, d = np.concatenate([best[0], s]), np.concatenate([best[1], d])
+                    order = np.lexsort((d, -s), axis=0)[:k]
+                    s, d = np.take_along_axis(s, order, 0), np.take_along_axis(d, order, 0)
+                best = s, d
+        if best is not None and len(ids):
+            row, query = np.nonzero(best[0])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(query, pa.int64())), pa.array(best[1][row, query].tolist(), kind), pa.array(best[0][row, query])], names=["query", "doc", "score"])
 
     return run
 
