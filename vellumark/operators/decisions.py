@@ -140,6 +140,12 @@ def apply_gate(label: Column, p: Column, reasons: Column, threshold: float) -> C
     return F.when((F.coalesce(F.size(reasons), F.lit(0)) == 0) & p.isNotNull() & (p >= threshold), label)
 
 
+def answer_score(p: Column, label: Column) -> Column:
+    """The probability of the given label, null for one that isn't in LABELS."""
+    at = F.array_position(F.array(*map(F.lit, LABELS)), label)
+    return F.when(at > 0, F.get(p, at.cast("int") - 1))
+
+
 def agreement(a: Column, b: Column) -> Column:
     """The label both give, else null."""
     return F.when(a == b, a)

@@ -45,6 +45,45 @@ def bootstrap(groups: DataFrame, value: str, weight: str, seed: str, replicates:
     return ends.select(F.lit(estimate).cast("double").alias("estimate"), "low", "high")
 
 
+def bootstrap_macro_change(df: DataFrame, group: str, policy: str, before: str, after: str, truth: str, pred: str, labels: list[str], seed: str, replicates: int = 200, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """(estimate, low, high) of the change of macro-F1 from one policy to another when groups are drawn with replacement.
+
+    Each group's counts per policy and label are summed once; a replicate sums those of the groups it draws, so rows are never drawn themselves.
+    """
+    each = df.where(F.col(policy).isin(before, after)).select(F.col(group).alias("group_id"), F.col(policy).alias("_p"), truth, pred)
+    own = each.withColumn("_l", F.explode(F.array(*map(F.lit, labels)))).groupBy("group_id", "_p", "_l")
+    said, is_ = F.coalesce(F.col(pred) == F.col("_l"), F.lit(False)), F.col(truth) == F.col("_l")
+    counts = Cut(own.agg(F.count_if(said & is_).cast("double").alias("tp"), F.count_if(said).cast("double").alias("pp"), F.count_if(is_).cast("double").alias("n"))).df
+    numbered = Cut(_numbered(counts.select("group_id").distinct())).df
+    n = numbered.count()
+    slots = numbered.select(F.col("_i").alias("_slot"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_rep"))
+    times = slots.select("_rep", draw(F.lit(n), F.lit(seed), F.col("_rep").cast("string"), F.col("_slot").cast("string")).alias("_i")).groupBy("_rep", "_i").agg(F.count(F.lit(1)).alias("_t"))
+    drawn = times.join(numbered, "_i").join(counts, "group_id").select("_rep", "_p", "_l", *((F.col("_t") * F.col(c)).alias(c) for c in ("tp", "pp", "n")))
+    sums = drawn.unionByName(counts.select(F.lit(0).alias("_rep"), "_p", "_l", "tp", "pp", "n")).groupBy("_rep", "_p", "_l").agg(*(F.sum(c).alias(c) for c in ("tp", "pp", "n")))
+    f1 = F.when(F.col("pp") + F.col("n") > 0, 2 * F.col("tp") / (F.col("pp") + F.col("n"))).otherwise(F.lit(0.0))
+    macro = sums.groupBy("_rep", "_p").agg(F.avg(f1).alias("_f"))
+    of = lambda x: F.max(F.when(F.col("_p") == x, F.col("_f")))
+    change = macro.groupBy("_rep").agg((of(after) - of(before)).alias("x"))
+    drawn_only = F.when(F.col("_rep") > 0, F.col("x"))
+    return change.agg(F.max(F.when(F.col("_rep") == 0, F.col("x"))).alias("estimate"), F.percentile(drawn_only, F.lit(low)).alias("low"), F.percentile(drawn_only, F.lit(high)).alias("high"))
+
+
+def alpha_scores(df: DataFrame, by: list[str], probabilities: str, truth: str, labels: list[str], prior: list[float], alphas: list[float]) -> DataFrame:
+    """(by, alpha, macro_f1) where the decision is the label of the greatest probability / prior ** alpha, the first of equal ones (to 12 places)."""
+    names = F.array(*map(F.lit, labels))
+
+    def said(alpha: float) -> Column:
+        weighed = F.zip_with(probabilities, F.array(*(F.lit(float(x) ** alpha) for x in prior)), lambda a, b: F.round(a / b, 12))
+        return F.element_at(names, F.array_position(weighed, F.array_max(weighed)).cast("int"))
+
+    each = df.select(*by, truth, F.explode(F.array(*(F.struct(F.lit(a).alias("alpha"), said(a).alias("y")) for a in alphas))).alias("d")).select(*by, truth, "d.*")
+    counts = each.groupBy(*by, "alpha", F.col(truth).alias("_t"), "y").agg(F.count(F.lit(1)).alias("_n"))
+    per = counts.withColumn("_l", F.explode(names)).groupBy(*by, "alpha", "_l").agg(
+        F.sum(F.when((F.col("_t") == F.col("_l")) & (F.col("y") == F.col("_l")), F.col("_n")).otherwise(0)).alias("tp"), F.sum(F.col("_n") * ((F.col("_t") == F.col("_l")).cast("int") + (F.col("y") == F.col("_l")).cast("int"))).alias("d")
+    )
+    return per.groupBy(*by, "alpha").agg(F.avg(F.when(F.col("d") > 0, 2 * F.col("tp") / F.col("d")).otherwise(F.lit(0.0))).alias("macro_f1"))
+
+
 def _numbered(groups: DataFrame) -> DataFrame:
     """groups with _i from 0 in the order of group_id: counts of ordered ranges give each range its first number."""
     ranged = groups.repartitionByRange("group_id").withColumn("_part", F.spark_partition_id())
