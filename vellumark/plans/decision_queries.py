@@ -94,7 +94,12 @@ def capture_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("claim_id", *(F.round(c, 9).alias(c) for c in got.columns if c != "claim_id"))
 
 
-@query()
+@query(rf"""WITH p AS (SELECT DISTINCT prediction_id, claim, coalesce(evidence, []) AS e FROM predictions), t AS (SELECT prediction_id, len(e)::DOUBLE AS n, e, list_transform(e, lambda x: trim(coalesce(x.text, ''))) AS texts FROM p),
+s AS (SELECT *, list_transform(list_filter(texts, lambda x: x <> ''), lambda x: list_sort(list_distinct(regexp_extract_all(lower(x), '[\p{{L}}\p{{M}}\p{{N}}_'']+')))) AS sets, len(list_filter(texts, lambda x: list_has_any(regexp_extract_all(lower(x), '[\p{{L}}\p{{M}}\p{{N}}_'']+'), {_NEG})))::DOUBLE AS neg FROM t),
+d AS (SELECT prediction_id, list_sum(list_transform(sets, lambda a: list_sum(list_transform(sets, lambda b: CASE WHEN len(a) + len(b) = 0 THEN 0e0 ELSE 1 - len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END)))) AS total FROM s)
+SELECT s.prediction_id, 1e0 AS n_questions, n AS n_answers, n AS answers_per_question, (n > 1)::DOUBLE AS multi_answer_share, CASE WHEN n > 0 THEN round(len(list_distinct(list_transform(sets, lambda x: array_to_string(x, ' ')))) / n, 9) ELSE 0 END AS unique_share, 0e0 AS boolean_share, 0e0 AS yes_and_no,
+  CASE WHEN n > 0 THEN round(neg / n, 9) ELSE 0 END AS negated_share, (neg > 0 AND neg < n)::DOUBLE AS negation_mixed, CASE WHEN n > 0 THEN round(len(list_distinct(list_filter(list_transform(e, lambda x: lower(trim(coalesce(x.id[1:1], '')))), lambda x: x <> ''))) / n, 9) ELSE 0 END AS media_share,
+  CASE WHEN n > 0 THEN round(1 / n, 9) ELSE 0 END AS type_share, CASE WHEN len(sets) >= 2 THEN round(total / (len(sets) * (len(sets) - 1)), 9) ELSE 0 END AS mean_distance FROM s JOIN d ON d.prediction_id = s.prediction_id""")
 def disagreement_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structural features of every prediction's claim and evidence, read as one question and its answers."""
     none = F.lit(None).cast("string")
@@ -263,7 +268,13 @@ def stressed_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("prediction_id", "condition", F.size("evidence").alias("n_evidence"), F.sha2(F.array_join(F.transform("evidence", lambda e: X.text(e["text"])), "\n"), 256).alias("digest"))
 
 
-@query()
+_ONE = """one AS (SELECT x.prediction_id, x.cohort, x.evidence FROM (SELECT arg_min({'prediction_id': prediction_id, 'cohort': cohort, 'evidence': evidence}, {'a': coalesce(policy <> 'full_gate', true), 'b': policy, 'c': prediction_id}) AS x
+  FROM (SELECT DISTINCT prediction_id, record_index, cohort, policy, coalesce(evidence, []) AS evidence FROM predictions) GROUP BY record_index))"""
+
+
+@query(f"""WITH {_ONE}, r AS (SELECT prediction_id AS p, cohort, list_distinct(list_transform(evidence, lambda e: e.id)) AS ids, row_number() OVER (PARTITION BY cohort ORDER BY sha256('donor:' || prediction_id), prediction_id) - 1 AS i, count(*) OVER (PARTITION BY cohort) AS n FROM one WHERE cohort IS NOT NULL)
+SELECT prediction_id, donor, CAST(shared AS INTEGER) AS shared FROM (SELECT a.p AS prediction_id, b.p AS donor, len(list_intersect(a.ids, b.ids)) AS shared, row_number() OVER (PARTITION BY a.p ORDER BY len(list_intersect(a.ids, b.ids)), (b.i - a.i + a.n) % a.n) AS place
+  FROM r a JOIN r b ON a.cohort = b.cohort AND a.p <> b.p) WHERE place = 1""")
 def swap_donor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For one prediction of every record another record's of its cohort to take evidence from."""
     return _donors(cut(_one_per_record(spark, sf_dir)))
@@ -413,7 +424,7 @@ def valid_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).groupBy("policy").agg(F.count_if(V.valid_distribution(F.col("probs"))).alias("n_valid"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""SELECT a."key", t.fullkey AS path, CASE WHEN t.type = 'NULL' THEN 'null' ELSE CAST(t.atom AS VARCHAR) END AS value FROM (SELECT DISTINCT "key", response FROM answers WHERE json_valid(response)) a, json_tree(a.response) t WHERE t.type NOT IN ('OBJECT', 'ARRAY')""")
 def json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every leaf of the answers' JSON with its path."""
     return V.json_leaves(load(spark, sf_dir, "answers", "key", "response").distinct(), "key", "response")

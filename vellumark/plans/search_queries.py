@@ -196,12 +196,14 @@ def pool_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.pool(_docs(spark, sf_dir), "text")
 
 
-@query()
+@query("""WITH p AS (SELECT DISTINCT prediction_id, evidence FROM predictions), b AS (SELECT prediction_id, evidence, list_transform(coalesce(evidence, []), lambda e: {'id': e.id, 't': trim(regexp_replace(coalesce(e.text, ''), '[\\s\\x0b\\x85\\p{Z}]+', ' ', 'g'))}) AS e FROM p),
+k AS (SELECT prediction_id, evidence, CASE WHEN len(e) = 0 THEN [] ELSE list_reduce(list_transform(e, lambda x: [x]), lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: y.id IS NOT DISTINCT FROM x[1].id OR y.t = x[1].t)) > 0 THEN kept ELSE list_concat(kept, x) END) END AS kept FROM b)
+SELECT prediction_id, list_transform(kept, lambda x: x.id) AS kept, CAST(coalesce(len(evidence), 0) - len(kept) AS INTEGER) AS n_dropped FROM k""")
 def collapse_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence of every prediction without repeated ids and texts."""
     rows = load(spark, sf_dir, "predictions", "prediction_id", "evidence").distinct()
     kept = G.collapse_context(F.coalesce("evidence", F.array().cast("array<struct<id:string,text:string>>")), "id", "text")
-    return rows.select("prediction_id", F.transform(kept, lambda e: e["id"]).alias("kept"), (F.size("evidence") - F.size(kept)).alias("n_dropped"))
+    return rows.select("prediction_id", F.transform(kept, lambda e: e["id"]).alias("kept"), (F.coalesce(F.size("evidence"), F.lit(0)) - F.size(kept)).alias("n_dropped"))
 
 
 @query("""WITH e AS (SELECT DISTINCT evidence_id, claim_id, nullif(coalesce(provenance_family_id, ''), '') AS f FROM tesla_phase1b_evidence_v0_1),
