@@ -324,16 +324,22 @@ class Garbled:
         everything = sizes.agg(F.sum("n")).first()[0] or 0
         kinds = len(chains()) + 1
         prior = self.evidence.select("_source", "field", "chain").distinct().withColumn("prior", F.lit(0.05 / kinds))
+        held: list[Cut] = []
         for _ in range(EM_ROUNDS):
             joint = self.evidence.join(prior, ["_source", "field", "chain"]).withColumn("_l", F.col("ratio") + F.log("prior"))
             top = joint.groupBy("_key", "field").agg(F.max("_l").alias("_top"), F.max("_source").alias("_s2"))
             joint = joint.join(top.drop("_s2"), ["_key", "field"]).withColumn("_w", F.exp(F.col("_l") - F.greatest("_top", F.lit(0.0))))
             rest = joint.groupBy("_key", "field").agg((F.sum("_w") + F.exp(-F.greatest(F.first("_top"), F.lit(0.0)))).alias("_z"))
-            post = Cut(joint.join(rest, ["_key", "field"]).select("_key", "_source", "field", "chain", (F.col("_w") / F.col("_z")).alias("p"))).df
+            now = Cut(joint.join(rest, ["_key", "field"]).select("_key", "_source", "field", "chain", (F.col("_w") / F.col("_z")).alias("p")))
+            post = now.df
             mass = post.groupBy("_source", "field", "chain").agg(F.sum("p").alias("m"))
             overall = post.groupBy("field", "chain").agg(((F.sum("p") + 1e-3) / (everything + 1.0)).alias("share"))
             prior = mass.join(overall, ["field", "chain"]).join(sizes, "_source").select("_source", "field", "chain", ((F.col("m") + PSEUDO_RECORDS * F.col("share")) / (F.col("n") + PSEUDO_RECORDS)).alias("prior"))
-            prior = Cut(prior).df
+            after = Cut(prior)
+            prior = after.df
+            for old in held:  # superseded rounds
+                old.drop()
+            held = [now, after]
         best = F.max(F.struct("p", "chain"))
         return post.groupBy("_key", "field").agg(best.alias("b"), F.sum("p").alias("p_any")).select("_key", "field", "b.chain", "b.p", "p_any")
 
