@@ -41,10 +41,11 @@ class Postings:
     Without words a document has no posting but counts in N and in the mean length. The same collection serves any number of searches.
     """
 
+    #: Stands for a document as a whole among its words; no token is like it.
+    WHOLE = "\x00"
+
     def __init__(self, docs: DataFrame, doc: str, text: str | None = None, words: Column | None = None):
-        self.listed = docs.select(F.col(doc).alias("doc"), (tokens(text) if words is None else words).alias("words"))
-        figures = self.listed.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("words")).alias("total")).first()
-        self.n, self.mean = figures["n"], (figures["total"] or 0) / max(1, figures["n"])
+        self.listed = docs.select(F.col(doc).alias("doc"), F.coalesce(tokens(text) if words is None else words, F.array().cast("array<string>")).alias("words"))
 
     def search(self, queries: DataFrame, query: str, text: str | None = None, k: int = 10, words: Column | None = None) -> DataFrame:
         """(query, doc, score, rank): the k best documents of each query by BM25; documents without a shared token never appear.
@@ -56,9 +57,15 @@ class Postings:
         spark = self.listed.sparkSession
         asked = queries.select(F.col(query).alias("query"), F.array_distinct(tokens(text) if words is None else words).alias("_w")).where("query is not null")
         asked = Cut(asked.select("query", F.explode("_w").alias("token")).distinct()).df
-        seen = self.listed.select(F.explode(F.array_distinct("words")).alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
-        df = seen.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        weighed = Cut(asked.join(df, "token").select("query", "token", idf(F.lit(float(self.n)), F.col("df")).alias("idf"))).df
+        # one pass counts the documents of each token, all documents and all words
+        whole = F.array(F.struct(F.lit(self.WHOLE).alias("token"), F.size("words").alias("length")))
+        each = F.concat(F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("token"), F.lit(0).alias("length"))), whole)
+        wanted = asked.select("token").union(spark.createDataFrame([(self.WHOLE,)], "token string")).distinct()
+        seen = self.listed.select(F.explode(each).alias("x")).select("x.*").join(wanted, "token", "left_semi")
+        df = Cut(seen.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("total"))).df
+        figures = df.where(F.col("token") == self.WHOLE).first()
+        n, mean = (figures["df"], figures["total"] / figures["df"]) if figures else (0, 0.0)
+        weighed = Cut(asked.join(df, "token").select("query", "token", idf(F.lit(float(n)), F.col("df")).alias("idf"))).df
         blocks = max(1, -(-asked.select("query").distinct().count() // QUERY_BLOCK))
         schema = T.StructType([T.StructField("query", asked.schema["query"].dataType), T.StructField("doc", self.listed.schema["doc"].dataType), T.StructField("score", T.DoubleType())])
         out = None
@@ -71,7 +78,7 @@ class Postings:
             for r in rows:
                 lists.setdefault(r["token"], ([], r["idf"]))[0].append(number[r["query"]])
             held = spark.sparkContext.broadcast((ids, {t: (np.array(q, np.int32), w) for t, (q, w) in lists.items()}))
-            got = self.listed.mapInArrow(_scorer(held, self.mean, k, asked.schema["query"].dataType), schema)
+            got = self.listed.mapInArrow(_scorer(held, mean, k, asked.schema["query"].dataType), schema)
             out = got if out is None else out.unionByName(got)
         return top(out, ["query"], [F.desc("score"), F.asc("doc")], k)
 
