@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from vellumark.functions import text as X
 from vellumark.operators import inference as I
 from vellumark.operators import studies as T
+from vellumark.operators import validation as V
 
 ITEMS = "array<struct<id:string,text:string>>"
 
@@ -101,3 +102,25 @@ def test_powers_of_the_prior(spark):
     df = spark.createDataFrame([("p", "A", [0.6, 0.4]), ("p", "B", [0.55, 0.45]), ("p", "A", [0.9, 0.1])], "pol string, t string, q array<double>")
     got = {r["alpha"]: r["macro_f1"] for r in I.alpha_scores(df, ["pol"], "q", "t", ["A", "B"], [2 / 3, 1 / 3], [0.0, 0.5]).collect()}
     assert got[0.0] == pytest.approx(0.4) and got[0.5] == pytest.approx(1.0)
+
+
+def errors(spark, rules, good, **bad):
+    """The names of the rules that a row breaks when one of its fields is changed."""
+    fields = sorted(good)
+    rows = [good] + [good | {k.split("__")[0]: v} for k, v in bad.items()]
+    df = spark.createDataFrame([tuple(r[f] for f in fields) for r in rows], ", ".join(f"`{f}` string" for f in fields))
+    return [r[0] for r in df.coalesce(1).select(V.broken(rules)).collect()]
+
+
+def test_rules_of_captures_plans_and_reviews(spark):
+    capture = {"capture_id": "CAP-001", "claim_id": "T369-001", "evidence_id": "EVID-001", "source_url": "https://a.example/x", "source_date": "1900-02-28", "article_title": "Title", "printed_page": "3", "column": "1", "private_relative_path": "data/raw/a.png", "sha256": "Ab" * 32}
+    got = errors(spark, V.capture_rules(), capture, source_url="http://a.example/x", source_date="1900-02-29", printed_page="0", private_relative_path="data/raw/../x", private_relative_path__2="/data/raw/x", private_relative_path__3="data/rawest/x", sha256="ab", column=None)
+    assert got == [[], ["source_url"], ["source_date"], ["printed_page"], ["private_relative_path"], ["private_relative_path"], ["private_relative_path"], ["sha256"], ["column"]]
+    plan = {"search_id": "SEARCH-001", "claim_id": "T369-001", "primary_repositories": "r", "exact_query": "q", "fragment_or_concept_query": "f", "date_frozen": "2020-01-01", "assigned_to": "x"}
+    assert errors(spark, V.search_plan_rules(), plan, exact_query=" ", search_id="SEARCH-1") == [[], ["both_queries"], ["search_id"]]
+    review = {
+        "review_id": "REVIEW-T369-004-A", "claim_id": "T369-004", "reviewer_code": "RA-7K2M", "review_date": "2026-01-02", "canonical_claim": "c" * 20, "source_url": "https://a.example", "source_identifier": "s" * 10, "article_title": "Title", "source_date": "1900-01-01", "printed_page": "1", "column": "2",
+        "serbian_transcription": "ж" * 40, "literal_translation": "l" * 20, "normalized_english": "n" * 20, "verdict": "insufficient", "sufficiency": "insufficient", "confidence": "0.5", "decisive_evidence_ids": "EVID-001; EVID-002", "provenance_family_ids": "PF-A", "rationale": "r" * 80, "frozen_at_utc": "2026-01-02T03:04:05Z",
+    }
+    got = errors(spark, V.review_rules(), review, claim_id="T369-005", serbian_transcription="z" * 40, sufficiency="sufficient", confidence="1.5", decisive_evidence_ids=" ; ", provenance_family_ids="PF-A;x", frozen_at_utc="2026-01-02T03:04:05", confidence__2="high")
+    assert got == [[], ["ids_agree"], ["serbian_transcription"], ["verdict_matches_sufficiency"], ["confidence"], ["decisive_evidence_ids"], ["provenance_family_ids"], ["frozen_at_utc"], ["confidence"]]

@@ -32,29 +32,112 @@ def is_instant(c: str) -> Column:
     return text(c).rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$")
 
 
+def matches(c: str, pattern: str) -> Column:
+    """Whether the value without outer blanks is wholly of the pattern."""
+    return F.trim(text(c)).rlike(f"^(?:{pattern})$")
+
+
+def as_long(c: str, least: int) -> Column:
+    """Whether the text without outer blanks has so many characters."""
+    return F.length(F.trim(text(c))) >= least
+
+
+# How ids, languages and addresses are written.
+CLAIM, EVIDENCE, LANGUAGE, ADDRESS = "T369-[0-9]{3,}", "EVID-[0-9]{3,}", "[a-z]{2,3}(?:-[A-Z]{2})?", r"(?s:https?://[^/?#\s]+.*)"
+
+
 def claim_rules() -> dict[str, Column]:
     return {
-        "claim_id": text("claim_id").rlike("^T369-[0-9]+$"),
-        "claim_text": F.length(F.trim(text("claim_text"))) >= 10,
-        "language": text("language").rlike("^[a-z]{2}(-[A-Z]{2})?$"),
+        "claim_id": matches("claim_id", "[A-Z0-9][A-Z0-9_-]*"),
+        "canonical_claim_id": filled("canonical_claim_id"),
+        "claim_text": as_long("claim_text", 10),
+        "claimed_person": filled("claimed_person"),
+        "language": matches("language", LANGUAGE),
         "verdict_confidence": F.col("verdict_confidence").between(0, 1),
         "sufficiency": text("sufficiency").isin("sufficient", "insufficient"),
         "verdict_matches_sufficiency": (F.col("verdict") == "insufficient") == (F.col("sufficiency") == "insufficient"),
-        "source_urls": filled("source_urls"),
+        "source_urls": F.forall(split_ids("source_urls"), lambda u: u.rlike(f"^{ADDRESS}$")),
+        "annotator_id": filled("annotator_id"),
     }
 
 
 def evidence_rules() -> dict[str, Column]:
-    original = text("provenance_relation") == "original"
+    free = text("provenance_relation").isin("original", "unknown")
     return {
-        "evidence_id": text("evidence_id").rlike("^EVID-[0-9]+$"),
-        "claim_id": text("claim_id").rlike("^T369-[0-9]+$"),
-        "source_url": text("source_url").rlike("^https?://[^/ ]+"),
+        "evidence_id": matches("evidence_id", EVIDENCE),
+        "claim_id": matches("claim_id", CLAIM),
+        "title": filled("title"),
+        "publisher_or_archive": filled("publisher_or_archive"),
+        "source_url": matches("source_url", ADDRESS),
         "access_date": is_date("access_date"),
         "source_rank": F.col("source_rank").between(1, 5),
+        "is_primary": F.col("is_primary").isNotNull(),
+        "evidence_summary": as_long("evidence_summary", 10),
+        "provenance_family_id": filled("provenance_family_id"),
         "no_self_parent": ~F.coalesce(F.upper(F.trim("parent_evidence_id")) == F.upper(F.trim("evidence_id")), F.lit(False)),
-        "copy_has_parent": original | filled("parent_evidence_id"),
+        "copy_has_parent": free | filled("parent_evidence_id"),
         "provenance_confidence": text("provenance_confidence").isin(CONFIDENCES),
+        "annotator_id": filled("annotator_id"),
+    }
+
+
+def search_plan_rules() -> dict[str, Column]:
+    return {
+        "search_id": matches("search_id", "SEARCH-[0-9]{3,}"),
+        "claim_id": matches("claim_id", CLAIM),
+        "primary_repositories": filled("primary_repositories"),
+        "both_queries": filled("exact_query") & filled("fragment_or_concept_query"),
+        "date_frozen": is_date("date_frozen"),
+        "assigned_to": filled("assigned_to"),
+    }
+
+
+def _place(c: str) -> Column:
+    return matches(c, r"\+?0*[1-9][0-9]*")
+
+
+def capture_rules() -> dict[str, Column]:
+    """Rules of captured sources: where they come from, and where their bytes lie under data/raw with which digest."""
+    path = F.trim(text("private_relative_path"))
+    return {
+        "capture_id": matches("capture_id", "CAP-[0-9]{3,}"),
+        "claim_id": matches("claim_id", CLAIM),
+        "evidence_id": matches("evidence_id", EVIDENCE),
+        "source_url": matches("source_url", ADDRESS) & text("source_url").rlike(r"^\s*https:"),
+        "source_date": is_date("source_date"),
+        "article_title": as_long("article_title", 5),
+        "printed_page": _place("printed_page"),
+        "column": _place("column"),
+        "private_relative_path": path.rlike(r"^(?:\./)*data/+(?:\./+)*raw(?:/|$)") & ~path.rlike(r"(^|/)\.\.(/|$)"),
+        "sha256": matches("sha256", "[0-9a-fA-F]{64}"),
+    }
+
+
+def review_rules() -> dict[str, Column]:
+    """Rules of human reviews: ids that agree, texts that are there in both languages, and evidence that is named."""
+    ids = lambda c, pattern: (F.size(split_ids(c)) > 0) & F.forall(split_ids(c), lambda x: x.rlike(f"^(?:{pattern})$"))
+    return {
+        "review_id": matches("review_id", "REVIEW-T369-[0-9]{3,}-[AB]"),
+        "claim_id": matches("claim_id", CLAIM),
+        "ids_agree": F.contains(text("review_id"), F.trim(text("claim_id"))) & filled("claim_id"),
+        "reviewer_code": matches("reviewer_code", "R[AB]-[A-Z0-9]{4,}"),
+        "review_date": is_date("review_date"),
+        "canonical_claim": as_long("canonical_claim", 20),
+        "source_url": matches("source_url", ADDRESS) & text("source_url").rlike(r"^\s*https:"),
+        "source_identifier": as_long("source_identifier", 10),
+        "article_title": as_long("article_title", 5),
+        "source_date": is_date("source_date"),
+        "printed_page": _place("printed_page"),
+        "column": _place("column"),
+        "serbian_transcription": as_long("serbian_transcription", 40) & text("serbian_transcription").rlike("[А-Яа-я]"),
+        "literal_translation": as_long("literal_translation", 20),
+        "normalized_english": as_long("normalized_english", 20),
+        "verdict_matches_sufficiency": (F.col("verdict") == "insufficient") == (F.col("sufficiency") == "insufficient"),
+        "confidence": F.col("confidence").try_cast("double").between(0, 1),
+        "decisive_evidence_ids": ids("decisive_evidence_ids", EVIDENCE),
+        "provenance_family_ids": ids("provenance_family_ids", "PF-[A-Z0-9-]+"),
+        "rationale": as_long("rationale", 80),
+        "frozen_at_utc": is_instant("frozen_at_utc"),
     }
 
 

@@ -338,9 +338,14 @@ _CONF = "coalesce({}, '') IN ('low', 'medium', 'high')"
 _DAY = "try_strptime({c}, '%Y-%m-%d') IS NOT NULL AND regexp_matches(coalesce({c}, ''), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$')"
 
 
+_FILLED = "trim(coalesce({c}, '')) <> ''"
+_URL = r"regexp_full_match({c}, 'https?://[^/?#\s]+.*', 's')"
+
+
 @query(_validate_sql("tesla_claims_pilot_v0_1", "claim_id", {
-    "claim_id": "regexp_matches(coalesce(claim_id, ''), '^T369-[0-9]+$')", "claim_text": "length(trim(coalesce(claim_text, ''))) >= 10", "language": "regexp_matches(coalesce(language, ''), '^[a-z]{2}(-[A-Z]{2})?$')",
-    "verdict_confidence": "verdict_confidence BETWEEN 0 AND 1", "sufficiency": "coalesce(sufficiency, '') IN ('sufficient', 'insufficient')", "verdict_matches_sufficiency": "(verdict = 'insufficient') = (sufficiency = 'insufficient')", "source_urls": "trim(coalesce(source_urls, '')) <> ''",
+    "claim_id": "regexp_full_match(trim(coalesce(claim_id, '')), '[A-Z0-9][A-Z0-9_-]*')", "canonical_claim_id": _FILLED.format(c="canonical_claim_id"), "claim_text": "length(trim(coalesce(claim_text, ''))) >= 10", "claimed_person": _FILLED.format(c="claimed_person"),
+    "language": "regexp_full_match(trim(coalesce(language, '')), '[a-z]{2,3}(-[A-Z]{2})?')", "verdict_confidence": "verdict_confidence BETWEEN 0 AND 1", "sufficiency": "coalesce(sufficiency, '') IN ('sufficient', 'insufficient')", "verdict_matches_sufficiency": "(verdict = 'insufficient') = (sufficiency = 'insufficient')",
+    "source_urls": f"coalesce(list_bool_and(list_transform(list_filter(list_transform(string_split(coalesce(source_urls, ''), ';'), lambda x: trim(x)), lambda x: x <> ''), lambda x: {_URL.format(c='x')})), true)", "annotator_id": _FILLED.format(c="annotator_id"),
 }))
 def validate_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken rules of every claim record."""
@@ -348,8 +353,9 @@ def validate_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_validate_sql("tesla_phase1b_evidence_v0_1", "evidence_id", {
-    "evidence_id": "regexp_matches(coalesce(evidence_id, ''), '^EVID-[0-9]+$')", "claim_id": "regexp_matches(coalesce(claim_id, ''), '^T369-[0-9]+$')", "source_url": "regexp_matches(coalesce(source_url, ''), '^https?://[^/ ]+')", "access_date": _DAY.format(c="access_date"),
-    "source_rank": "source_rank BETWEEN 1 AND 5", "no_self_parent": "NOT coalesce(upper(trim(parent_evidence_id)) = upper(trim(evidence_id)), false)", "copy_has_parent": "coalesce(provenance_relation, '') = 'original' OR trim(coalesce(parent_evidence_id, '')) <> ''", "provenance_confidence": _CONF.format("provenance_confidence"),
+    "evidence_id": "regexp_full_match(trim(coalesce(evidence_id, '')), 'EVID-[0-9]{3,}')", "claim_id": "regexp_full_match(trim(coalesce(claim_id, '')), 'T369-[0-9]{3,}')", "title": _FILLED.format(c="title"), "publisher_or_archive": _FILLED.format(c="publisher_or_archive"),
+    "source_url": _URL.format(c="trim(coalesce(source_url, ''))"), "access_date": _DAY.format(c="access_date"), "source_rank": "source_rank BETWEEN 1 AND 5", "is_primary": "is_primary IS NOT NULL", "evidence_summary": "length(trim(coalesce(evidence_summary, ''))) >= 10", "provenance_family_id": _FILLED.format(c="provenance_family_id"),
+    "no_self_parent": "NOT coalesce(upper(trim(parent_evidence_id)) = upper(trim(evidence_id)), false)", "copy_has_parent": "coalesce(provenance_relation, '') IN ('original', 'unknown') OR trim(coalesce(parent_evidence_id, '')) <> ''", "provenance_confidence": _CONF.format("provenance_confidence"), "annotator_id": _FILLED.format(c="annotator_id"),
 }))
 def validate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken rules of every evidence record."""
