@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from vellumark.functions import text as X
 from vellumark.operators import inference as I
+from vellumark.operators import sampling as S
 from vellumark.operators import studies as T
 from vellumark.operators import validation as V
 
@@ -124,3 +125,17 @@ def test_rules_of_captures_plans_and_reviews(spark):
     }
     got = errors(spark, V.review_rules(), review, claim_id="T369-005", serbian_transcription="z" * 40, sufficiency="sufficient", confidence="1.5", decisive_evidence_ids=" ; ", provenance_family_ids="PF-A;x", frozen_at_utc="2026-01-02T03:04:05", confidence__2="high")
     assert got == [[], ["ids_agree"], ["serbian_transcription"], ["verdict_matches_sufficiency"], ["confidence"], ["decisive_evidence_ids"], ["provenance_family_ids"], ["frozen_at_utc"], ["confidence"]]
+
+
+def test_guards_robustness_scales_and_folds(spark):
+    df = spark.createDataFrame([("S", []), ("S", ["x"]), (None, None)], "l string, p array<string>")
+    label, reasons = T.guarded(F.col("l"), F.col("p"))
+    assert [tuple(r) for r in df.select(label, reasons).collect()] == [("S", []), (None, ["x"]), (None, None)]
+    pairs = spark.createDataFrame([("a", "A", "A", 0.5, 0.7), ("b", "B", "A", 0.5, 0.4), ("b", "B", None, 0.5, 0.5), ("a", None, None, 0.1, 0.1)], "t string, b string, a string, p double, q double")
+    r = T.robustness(pairs, [], "t", "b", "a", "p", "q", ["a", "b"]).first()
+    assert (r["n"], r["flip_rate"], r["increase_rate"]) == (4, 0.5, 0.25) and r["macro_before"] == 0.0
+    got = T.scaled(spark.createDataFrame([(1.0, 2.0), (3.0, 2.0)], "x double, y double"), ["x", "y"]).collect()
+    assert [tuple(r) for r in got] == [(1.0, 2.0), (3.0, 2.0)]
+    rows = spark.createDataFrame([(i // 2, "L" if i % 10 < 3 else None) for i in range(400)] + [(None, "L")], "g int, l string")
+    folds = S.stratified_group_folds(rows, "g", "l", 4, "s").toPandas()
+    assert len(folds) == 200 and folds.groupby(folds["l"].fillna("")).fold.value_counts().groupby(level=0).agg(lambda x: x.max() - x.min()).max() <= 1

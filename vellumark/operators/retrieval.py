@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from vellumark.functions.text import tokens
-from vellumark.tables import Cut
+from vellumark.tables import Cut, join_on_unique
 
 K1, B = 1.2, 0.75
 
@@ -163,18 +163,22 @@ def select_sentences(pairs: DataFrame, query: str, sentence_list: str, keys: lis
 def rerank(candidates: DataFrame, query: str, keys: list[str], owner: str, sentence_list: str, order: str, k: int) -> DataFrame:
     """(keys, owner, score, rank): a query's candidates by their best sentence, in one BM25 index over all candidates' sentences.
 
-    Candidates whose sentences share nothing keep their place behind the others, by `order`.
+    Candidates whose sentences share nothing keep their place behind the others, by `order`; a candidate that repeats counts once.
     """
-    each = candidates.select(*keys, owner, order, F.array_distinct(tokens(query)).alias("_q"), F.posexplode_outer(sentence_list).alias("_i", "_text"))
-    each = each.withColumn("_t", tokens("_text"))
-    whole = Window.partitionBy(*keys)
-    sized = each.withColumn("_n", F.count("_i").over(whole)).withColumn("_mean", F.sum(F.size("_t")).over(whole) / F.greatest(F.col("_n"), F.lit(1)))
-    hits = sized.select(*keys, owner, "_i", "_n", "_mean", F.size("_t").alias("_len"), F.explode(F.filter("_t", lambda t: F.array_contains("_q", t))).alias("_tok"))
-    tf = hits.groupBy(*keys, owner, "_i", "_tok").agg(F.count(F.lit(1)).alias("tf"), F.max("_n").alias("_n"), F.max("_mean").alias("_mean"), F.max("_len").alias("_len"))
-    df = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_tok"))
-    part = tf.withColumn("_s", idf(F.col("_n"), df) * saturated(F.col("tf"), F.col("_len"), F.col("_mean")))
+    candidates = candidates.select(*dict.fromkeys([*keys, owner, order, query, sentence_list])).distinct()
+    # a query may have any number of candidates: its figures are sums of map-side sums, joined back with hot keys salted
+    one = F.col(keys[0]) if len(keys) == 1 else F.to_json(F.struct(*keys))
+    each = candidates.select(*keys, owner, one.alias("_key"), F.array_distinct(tokens(query)).alias("_q"), F.posexplode_outer(sentence_list).alias("_i", "_text"))
+    each = Cut(each.withColumn("_t", tokens("_text")).drop("_text")).df
+    figures = each.groupBy("_key").agg(F.count("_i").alias("_n"), (F.sum(F.size("_t")) / F.greatest(F.count("_i"), F.lit(1))).alias("_mean"))
+    hits = each.select(*keys, owner, "_key", "_i", F.size("_t").alias("_len"), F.explode(F.filter("_t", lambda t: F.array_contains("_q", t))).alias("_tok"))
+    tf = hits.groupBy(*keys, owner, "_key", "_i", "_tok").agg(F.count(F.lit(1)).alias("tf"), F.max("_len").alias("_len")).withColumn("_pair", F.sha2(F.concat_ws("\x1f", F.col("_key").cast("string"), "_tok"), 256))
+    tf = Cut(tf).df
+    df = tf.groupBy("_pair").agg(F.count(F.lit(1)).alias("_df"))
+    counted = join_on_unique(join_on_unique(tf, df, "_pair"), figures, "_key")
+    part = counted.withColumn("_s", idf(F.col("_n"), F.col("_df")) * saturated(F.col("tf"), F.col("_len"), F.col("_mean")))
     per = part.groupBy(*keys, owner, "_i").agg(F.sum("_s").alias("_s")).groupBy(*keys, owner).agg(F.round(F.max("_s"), 9).alias("score"))
-    joined = candidates.select(*keys, owner, order).join(per, [*keys, owner], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    joined = candidates.select(*dict.fromkeys([*keys, owner, order])).join(per, [*keys, owner], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return top(joined, keys, [F.desc("score"), F.asc(order)], k).select(*keys, owner, "score", "rank")
 
 

@@ -56,6 +56,21 @@ def folds(df: DataFrame, ident: str, n: int, seed: str) -> DataFrame:
     return held.join(sizes.select("_r", first.alias("_first")), "_r").select(ident, F.pmod(F.col("_first") + place, F.lit(n)).cast("int").alias("fold"))
 
 
+def stratified_group_folds(df: DataFrame, group: str, label: str, n: int, seed: str) -> DataFrame:
+    """(group, label, fold): whole groups dealt to n folds in turn, separately for each label, by hash order; a group's label is the least of its labels.
+
+    Only (label, hash range) counts decide where a range begins, so no label's groups are ordered in one task.
+    """
+    h = hash_key(seed, F.col(group))
+    groups = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.min(label).alias(label)).withColumn("_h", h).withColumn("_r", F.substring("_h", 1, 2))
+    sizes = groups.groupBy(label, "_r").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(label).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col(label).alias("_l"), F.col("_r").alias("_sr"), before.alias("_s"))
+    place = F.row_number().over(Window.partitionBy(label, "_r").orderBy("_h", group)) - 1
+    placed = groups.withColumn("_p", place).join(starts, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_r") == F.col("_sr")))
+    return placed.select(group, label, F.pmod(F.col("_s") + F.col("_p"), F.lit(n)).cast("int").alias("fold"))
+
+
 def cut_by_order(groups: DataFrame, group: str, shares: dict[str, float], seed: str) -> DataFrame:
     """(group, split): groups in hash order, cut at the cumulated shares of their number."""
     placed = folds(groups, group, 1 << 30, seed).withColumnRenamed("fold", "_place")

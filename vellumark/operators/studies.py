@@ -231,3 +231,36 @@ def carried_scores(original: Column, scores: Column, variant: Column) -> Column:
     """The scores of a variant's items, taken from the original's items of the same id and text; null if one of them isn't among these."""
     at = F.transform(variant, lambda v: F.array_position(F.transform(original, lambda o: o["id"].eqNullSafe(v["id"]) & o["text"].eqNullSafe(v["text"])), True))
     return F.when(~F.exists(at, lambda i: i == 0), F.transform(at, lambda i: F.get(scores, i.cast("int") - 1)))
+
+
+def guarded(label: Column, problems: Column) -> tuple[Column, Column]:
+    """(label, reasons): the label of a context without problems; with any, none, and these as the reasons for refusing before generation."""
+    ok = F.coalesce(F.size(problems), F.lit(0)) == 0
+    return F.when(ok, label), F.when(ok, F.slice(problems, 1, 0)).otherwise(problems)
+
+
+def robustness(pairs: DataFrame, by: list[str], truth: str, before: str, after: str, p_before: str, p_after: str, labels: list[str]) -> DataFrame:
+    """(by, n, macro_before, macro_after, macro_change, flip_rate, mean_change, increase_rate): what a change of the input does to answers and confidence.
+
+    One row per pair of answers to the same record; a null answer is an abstention, which is wrong and flips like any other.
+    """
+    each = pairs.withColumn("_l", F.explode(F.array(*map(F.lit, labels))))
+    is_ = F.col(truth) == F.col("_l")
+    f1 = {}
+    for name, c in (("before", before), ("after", after)):
+        said = F.coalesce(F.col(c) == F.col("_l"), F.lit(False))
+        f1[name] = F.coalesce(F.try_divide(2 * F.count_if(said & is_), F.count_if(said) + F.count_if(is_)), F.lit(0.0))
+    macro = each.groupBy(*by, "_l").agg(f1["before"].alias("_b"), f1["after"].alias("_a")).groupBy(*by).agg(F.avg("_b").alias("macro_before"), F.avg("_a").alias("macro_after"))
+    rest = pairs.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg((~F.col(before).eqNullSafe(F.col(after))).cast("double")).alias("flip_rate"), F.avg(F.col(p_after) - F.col(p_before)).alias("mean_change"), F.avg((F.col(p_after) > F.col(p_before)).cast("double")).alias("increase_rate")
+    )
+    # a constant key stands in where there are no groups
+    rest, macro = rest.withColumn("_one", F.lit(1)), macro.withColumn("_one", F.lit(1))
+    joined = rest.join(macro, [rest[c].eqNullSafe(macro[c]) for c in [*by, "_one"]])
+    return joined.select(*(rest[c] for c in by), "n", "macro_before", "macro_after", (F.col("macro_after") - F.col("macro_before")).alias("macro_change"), "flip_rate", "mean_change", "increase_rate")
+
+
+def scaled(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with each of the columns divided by its population standard deviation over all rows, or as it is where that is 0; nothing is centred."""
+    spread = df.agg(*(F.stddev_pop(c).alias(c) for c in columns)).first()
+    return df.withColumns({c: F.col(c) / F.lit(float(spread[c]) if spread[c] else 1.0) for c in columns})

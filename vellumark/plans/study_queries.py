@@ -12,9 +12,10 @@ from vellumark.operators import grouping as G
 from vellumark.operators import inference as I
 from vellumark.operators import metrics as M
 from vellumark.operators import retrieval as R
+from vellumark.operators import sampling as P
 from vellumark.operators import studies as T
 from vellumark.plans.decision_queries import _EV, _evidence_scores
-from vellumark.plans.metric_queries import _L, _S, LABELS, scored
+from vellumark.plans.metric_queries import _L, _PAIRS, _policy_pairs, _S, LABELS, scored
 from vellumark.plans.registry import Register
 from vellumark.plans.search_queries import _BM25, _claim_tokens, _TOKENS
 from vellumark.plans.text_queries import sql_normal, sql_tokens
@@ -359,4 +360,54 @@ def rerank_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.col("query").alias("query_id"), F.col("doc").alias("doc_id"), "score", F.col("rank").cast("long").alias("place"))
 
 
+@query(f"""WITH {_S}, g AS (SELECT record_index, min(truth) AS label FROM s GROUP BY 1) SELECT record_index, label, CAST((row_number() OVER (PARTITION BY label ORDER BY sha256('strata:' || record_index), record_index) - 1) % 3 AS INTEGER) AS fold FROM g""")
+def grouped_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three folds of whole records, balanced over true labels."""
+    return P.stratified_group_folds(scored(spark, sf_dir).select("record_index", F.col("truth").alias("label")), "record_index", "label", 3, "strata")
+
+
+@query("""SELECT prediction_id, CASE WHEN problems = '' THEN candidate_label END AS label, problems AS reasons FROM (SELECT prediction_id, candidate_label, array_to_string(list_filter([CASE WHEN len(e) > 3 THEN 'too_many' END, CASE WHEN len(list_distinct(list_transform(e, lambda x: coalesce(x.id, '<null>')))) < len(e) THEN 'repeated_id' END,
+  CASE WHEN list_bool_or(list_transform(e, lambda x: trim(coalesce(x.id, '')) = '')) THEN 'missing_id' END, CASE WHEN list_bool_or(list_transform(e, lambda x: trim(coalesce(x.text, '')) = '')) THEN 'missing_text' END], lambda x: x IS NOT NULL), ',') AS problems
+FROM (SELECT DISTINCT prediction_id, candidate_label, coalesce(evidence, []) AS e FROM predictions))""")
+def guarded_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prediction's label, refused where its context is malformed."""
+    rows = load(spark, sf_dir, "predictions", "prediction_id", "candidate_label", "evidence").distinct()
+    label, reasons = T.guarded(F.col("candidate_label"), T.context_problems(F.coalesce("evidence", F.array().cast(ITEMS))))
+    return rows.select("prediction_id", label.alias("label"), F.array_join(reasons, ",").alias("reasons"))
+
+
+@query(_PAIRS + f""", {_L}, j AS (SELECT a.record_index, truth, before, after, p0, p1 FROM a JOIN b USING (record_index)),
+m AS (SELECT label, coalesce(2 * count_if(truth = label AND coalesce(before = label, false)) / nullif(count_if(coalesce(before = label, false)) + count_if(truth = label), 0), 0) AS fb, coalesce(2 * count_if(truth = label AND coalesce(after = label, false)) / nullif(count_if(coalesce(after = label, false)) + count_if(truth = label), 0), 0) AS fa FROM j, l GROUP BY label)
+SELECT (SELECT count(*) FROM j) AS n, round(avg(fb), 9) AS macro_before, round(avg(fa), 9) AS macro_after, round(avg(fa) - avg(fb), 9) AS macro_change, (SELECT round(avg((before IS DISTINCT FROM after)::INT), 9) FROM j) AS flip_rate,
+  (SELECT round(avg(p1 - p0), 9) FROM j) AS mean_change, (SELECT round(avg((p1 > p0)::INT), 9) FROM j) AS increase_rate FROM m""")
+def gate_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macro-F1, flips and confidence from the ungated policy to the full gate."""
+    got = T.robustness(_policy_pairs(spark, sf_dir), [], "truth", "before", "after", "p0", "p1", LABELS)
+    return got.select("n", *(F.round(c, 9).alias(c) for c in ("macro_before", "macro_after", "macro_change", "flip_rate", "mean_change", "increase_rate")))
+
+
+@query(f"""WITH {_EV}, f AS (SELECT prediction_id, max(s[2]) AS e, avg(cosine) AS c FROM sc GROUP BY 1), d AS (SELECT stddev_pop(e) AS de, stddev_pop(c) AS dc FROM f)
+SELECT prediction_id, round(e / CASE WHEN de > 0 THEN de ELSE 1 END, 6) AS entailment, round(c / CASE WHEN dc > 0 THEN dc ELSE 1 END, 6) AS cosine FROM f, d""")
+def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two features of every prediction's evidence, at unit spread."""
+    each = _evidence_scores(spark, sf_dir).groupBy("prediction_id").agg(F.max(F.col("s")[1]).alias("entailment"), F.avg("cosine").alias("cosine"))
+    got = T.scaled(each, ["entailment", "cosine"])
+    return got.select("prediction_id", F.round("entailment", 6).alias("entailment"), F.round("cosine", 6).alias("cosine"))
+
+
+@query(f"""WITH RECURSIVE pp AS (SELECT DISTINCT record_index AS r, {sql_normal('claim')} AS c FROM predictions), k AS (SELECT r, c AS k FROM pp WHERE c <> ''), {_CLOSURE}, {_S},
+ok AS (SELECT record_index AS r, bool_or(policy = 'full_gate' AND coalesce(pred = truth, false))::INT - bool_or(policy = 'ungated' AND coalesce(pred = truth, false))::INT AS d FROM s GROUP BY 1), gg AS (SELECT coalesce(g, ok.r) AS group_id, sum(d)::DOUBLE AS v, count(*)::DOUBLE AS w FROM ok LEFT JOIN grp ON grp.r = ok.r GROUP BY 1),
+i AS (SELECT *, row_number() OVER (ORDER BY group_id) - 1 AS i, count(*) OVER () AS n FROM gg), d AS (SELECT z.rep, CAST('0x' || substr(sha256('linked:' || z.rep || ':' || i.i), 1, 8) AS BIGINT) % n AS i FROM i, (SELECT unnest(range(1, 101)) AS rep) z),
+x AS (SELECT d.rep, sum(i.v) / sum(i.w) AS q FROM d JOIN i ON d.i = i.i GROUP BY d.rep)
+SELECT round((SELECT sum(v) / sum(w) FROM gg), 9) AS estimate, round(quantile_cont(q, 0.025), 9) AS low, round(quantile_cont(q, 0.975), 9) AS high FROM x""")
+def linked_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change of accuracy from the ungated policy to the full gate, with an interval from resampled groups of records with the same claim."""
+    rows = load(spark, sf_dir, "predictions", "record_index", "claim").distinct()
+    groups = G.linked_groups(rows, "record_index", [X.normal_claim("claim")])
+    right = lambda p: F.bool_or((F.col("policy") == p) & F.coalesce(F.col("pred") == F.col("truth"), F.lit(False))).cast("int")
+    change = scored(spark, sf_dir).groupBy("record_index").agg((right("full_gate") - right("ungated")).alias("d"))
+    own = change.join(groups, "record_index").groupBy(F.col("group").alias("group_id")).agg(F.sum("d").cast("double").alias("v"), F.count(F.lit(1)).cast("double").alias("w"))
+    return I.bootstrap(own, "v", "w", "linked", 100).select(*(F.round(c, 9).alias(c) for c in ("estimate", "low", "high")))
+
+
 QUERIES, SQL = query.queries, query.sql
