@@ -128,7 +128,15 @@ def safe_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents", "doc_id", "source_url").distinct().select("doc_id", U.safe_url("source_url").alias("safe"))
 
 
-@query()
+def sql_numbers(c: str) -> str:
+    """Distinct numbers of a text without looking around: words that aren't all digits give way to a letter, and a sign behind a word stands alone."""
+    other = r"[\p{L}_\p{Nl}\p{No}\x{FF10}-\x{FF19}\x{660}-\x{669}\x{966}-\x{96F}]"
+    bare = rf"regexp_replace(coalesce({c}, ''), '\[[^\]]*\]', '', 'g')"
+    plain = rf"regexp_replace(regexp_replace({bare}, '[\p{{L}}\p{{N}}_]*{other}[\p{{L}}\p{{N}}_]*', 'x', 'g'), '([\p{{L}}\p{{N}}_])([+-])', '\1 \2 ', 'g')"
+    return rf"list_sort(list_distinct(regexp_extract_all({plain}, '[+-]?[0-9]+(?:\.[0-9]+)?')))"
+
+
+@query(f"SELECT prediction_id, {sql_numbers('generated_explanation')} AS numbers FROM (SELECT DISTINCT prediction_id, generated_explanation FROM predictions)")
 def numbers_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct numbers of every generated explanation."""
     return load(spark, sf_dir, "predictions", "prediction_id", "generated_explanation").distinct().select("prediction_id", X.numbers("generated_explanation").alias("numbers"))
@@ -138,7 +146,9 @@ def _evidence_text() -> F.Column:
     return F.array_join(F.transform(F.coalesce("evidence", F.array().cast("array<struct<id:string,text:string>>")), lambda e: F.coalesce(e["text"], F.lit(""))), "\n")
 
 
-@query()
+@query(f"""WITH n AS (SELECT prediction_id, {sql_numbers('generated_explanation')} AS said, {sql_numbers('claim')} AS cl, {sql_numbers("array_to_string(list_transform(coalesce(evidence, []), lambda e: coalesce(e.text, '')), chr(10))")} AS ev
+  FROM (SELECT DISTINCT prediction_id, generated_explanation, claim, evidence FROM predictions))
+SELECT prediction_id, list_filter(said, lambda x: list_contains(ev, x)) AS in_evidence, list_filter(said, lambda x: list_contains(cl, x) AND NOT list_contains(ev, x)) AS claim_only, list_filter(said, lambda x: NOT list_contains(cl, x) AND NOT list_contains(ev, x)) AS absent FROM n""")
 def numeric_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the numbers of every generated explanation come from: evidence, claim only, or neither."""
     rows = load(spark, sf_dir, "predictions", "prediction_id", "generated_explanation", "claim", "evidence").distinct()
