@@ -144,6 +144,7 @@ def _place(text: str, m: re.Match) -> tuple[str, str, str]:
 
 def packed(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The table's filled buckets alone, as it is sent to the executors."""
+    counts = np.asarray(counts)
     used = np.flatnonzero(counts)
     return used.astype(np.uint32), counts[used].astype(np.float32)
 
@@ -158,7 +159,8 @@ class Characters:
     """Log probability of a word under hashed counts of its characters, pairs and triples; short contexts back up long ones."""
 
     def __init__(self, counts: np.ndarray):
-        self.counts, self.words = counts, {}
+        # plain numbers, and each triple's logarithm once: both are far quicker to get at than an array's elements
+        self.counts, self.words, self.logs = memoryview(np.ascontiguousarray(counts, np.float32)), {}, {}
 
     @staticmethod
     @functools.lru_cache(1 << 20)
@@ -174,16 +176,23 @@ class Characters:
 
     def log_p(self, before: str, word: str, after: str) -> float:
         """Sum over the characters of log P(character | the two before it)."""
-        c, b, total = self.counts, self.bucket, 0.0
-        w = before + word + after
-        all_ = c[b("\x07")]
+        w, logs, total = before + word + after, self.logs, 0.0
         for i in range(2, len(w)):
-            p1 = (c[b(w[i] + "\x06")] + 0.02) / (all_ + 1000.0)
-            p2 = (c[b(w[i - 1 : i + 1] + "\x04")] + BACKING * p1) / (c[b(w[i - 1] + "\x05")] + BACKING)
-            p3 = (c[b(w[i - 2 : i + 1])] + BACKING * p2) / (c[b(w[i - 2 : i] + "\x01")] + BACKING)
-            total += math.log(p3)
+            gram = w[i - 2 : i + 1]
+            known = logs.get(gram)
+            if known is None:
+                if len(logs) > 1_000_000:
+                    logs.clear()
+                known = logs[gram] = self._log_of(*gram)
+            total += known
         return total
 
+    def _log_of(self, x: str, y: str, z: str) -> float:
+        c, b = self.counts, self.bucket
+        p1 = (c[b(z + "\x06")] + 0.02) / (c[b("\x07")] + 1000.0)
+        p2 = (c[b(y + z + "\x04")] + BACKING * p1) / (c[b(y + "\x05")] + BACKING)
+        return math.log((c[b(x + y + z)] + BACKING * p2) / (c[b(x + y + "\x01")] + BACKING))
+
     def seen(self, before: str, word: str, after: str) -> float:
         return self.counts[self.bucket("\x08" + before + word + after)]
 
