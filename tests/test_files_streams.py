@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vellumark.operators import retrieval as R
 from vellumark.sources import files, sinks
 from vellumark.streaming import flows
 
@@ -85,6 +86,9 @@ def test_sinks(spark, tmp_path):
         sinks.write_lines(df, str(tmp_path / "l"))
     sinks.write_index(df, "d", {"text": "t"}, str(tmp_path / "i"), 4)
     assert spark.read.parquet(str(tmp_path / "i" / "postings")).where("token = 'crane'").count() == 2 and spark.read.parquet(str(tmp_path / "i" / "figures")).first()["n"] == 2
+    hits = R.search_index(spark, str(tmp_path / "i"), spark.createDataFrame([("q", "Red crane"), ("r", "blue"), (None, "red")], "q string, t string"), "q", "t", {"text": 1.0}, 5)
+    same = R.fielded_search(df, "d", {"text": 1.0}, {"text": F.col("t")}, spark.createDataFrame([("q", "Red crane")], "q string, t string"), "q", "t", 5)
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, same.collect())) and hits.count() == 2
     calls = []
 
     def compute(need):

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -200,6 +200,26 @@ def fielded_search(docs: DataFrame, doc: str, fields: dict[str, float], texts: d
     return top(score, ["query"], [F.desc("score"), F.asc("doc")], k)
 
 
+def search_index(spark: SparkSession, path: str, queries: DataFrame, query: str, text: str, weights: dict[str, float], k: int) -> DataFrame:
+    """(query, doc, score, rank): fielded_search over an index that sinks.write_index wrote: only the buckets of the queries' tokens are read, and
+    everything is joined and summed by built-in expressions. Fields without a weight don't count; an index of no documents finds nothing."""
+    figures = spark.read.parquet(f"{path}/figures").first()
+    n, mean = figures["n"], sum(figures["mean_" + f] or 0.0 for f in weights)
+    asked = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(tokens(text))).alias("token")).where("query is not null").distinct()
+    asked = Cut(asked.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(figures["buckets"])).cast("int"))).df
+    read = [r[0] for r in asked.select("bucket").distinct().collect()]  # as many as the index has at most
+    weight = F.create_map(*(F.lit(x) for f, w in weights.items() for x in (f, float(w))))
+    postings = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(read) & F.col("field").isin(list(weights)))
+    held = postings.join(asked.select("bucket", "token").distinct(), ["bucket", "token"], "left_semi").groupBy("doc", "token").agg(F.sum(F.col("tf") * weight[F.col("field")]).alias("tf"))
+    lengths = spark.read.parquet(f"{path}/documents").select("doc", sum((F.col("length_" + f) for f in weights), F.lit(0)).alias("length"))
+    held = Cut(held.join(lengths, "doc")).df
+    df = held.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    weighed = asked.join(df, "token").select("query", "token", idf(F.lit(float(n)), F.col("df")).alias("idf"))
+    scored = held.withColumn("part", saturated(F.col("tf"), F.col("length"), F.lit(mean)))
+    score = scored.join(weighed, "token").groupBy("query", "doc").agg(F.round(F.sum(F.col("idf") * F.col("part")), 9).alias("score"))
+    return top(score, ["query"], [F.desc("score"), F.asc("doc")], k)
+
+
 def dot(a: Column, b: Column) -> Column:
     """Dot product of two arrays."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

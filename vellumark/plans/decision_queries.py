@@ -259,15 +259,6 @@ def _donors(rows: DataFrame) -> DataFrame:
     return S.donors(ids, "prediction_id", "cohort", "ids")
 
 
-@query()
-def stressed_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record's evidence under six conditions, a donor's evidence among them."""
-    rows = cut(_one_per_record(spark, sf_dir))
-    theirs = _donors(rows).join(rows.select(F.col("prediction_id").alias("donor"), F.col("evidence").alias("swapped")), "donor").select("prediction_id", "swapped")
-    got = S.stressed_contexts(rows.join(theirs, "prediction_id", "left"), "prediction_id", "cohort", "evidence", "swapped")
-    return got.select("prediction_id", "condition", F.size("evidence").alias("n_evidence"), F.sha2(F.array_join(F.transform("evidence", lambda e: X.text(e["text"])), "\n"), 256).alias("digest"))
-
-
 _ONE = """one AS (SELECT x.prediction_id, x.cohort, x.evidence FROM (SELECT arg_min({'prediction_id': prediction_id, 'cohort': cohort, 'evidence': evidence}, {'a': coalesce(policy <> 'full_gate', true), 'b': policy, 'c': prediction_id}) AS x
   FROM (SELECT DISTINCT prediction_id, record_index, cohort, policy, coalesce(evidence, []) AS evidence FROM predictions) GROUP BY record_index))"""
 
@@ -280,6 +271,24 @@ def swap_donor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _donors(cut(_one_per_record(spark, sf_dir)))
 
 
+_NOISY = """array_to_string(list_transform(range(1, length(t) + 1), lambda i: CASE WHEN list_contains(list_transform(list_sort(list_transform(list_filter(range(1, length(t) + 1), lambda j: t[j] IN ('o', 'l', 'e', 'a')), lambda j: {'h': sha256(k || ':' || (j - 1)), 'j': j}))
+  [:least(length(regexp_replace(t, '[^olea]', '', 'g')), greatest(1, ceil(round(length(t) * 0.02, 9))))::BIGINT], lambda x: x.j), i) THEN translate(t[i], 'olea', '01c@') ELSE t[i] END), '')"""
+
+
+@query(f"""WITH {_ONE}, d AS ({query.sql["swap_donor"]}), b AS (SELECT one.*, concat_ws(':', one.cohort, one.prediction_id) AS key, o.evidence AS theirs FROM one LEFT JOIN d ON d.prediction_id = one.prediction_id LEFT JOIN one o ON o.prediction_id = d.donor),
+i AS (SELECT prediction_id, coalesce(e.text, '') AS t, concat_ws(':', key, e.id) AS k, n FROM (SELECT prediction_id, key, unnest(evidence) AS e, unnest(range(1, len(evidence) + 1)) AS n FROM b)), z AS (SELECT prediction_id, list({_NOISY} ORDER BY n) AS noisy FROM i GROUP BY 1),
+w AS (SELECT b.prediction_id, unnest([{{'condition': 'baseline', 'e': list_transform(evidence, lambda e: coalesce(e.text, ''))}}, {{'condition': 'ocr_noise', 'e': coalesce(noisy, [])}},
+  {{'condition': 'fabricated_citation', 'e': list_transform(evidence, lambda e: 'Archive reference: SYNTHETIC-ARCHIVE-' || upper(substr(sha256(key), 1, 12)) || '. Page 7. Year 1899. ' || coalesce(e.text, ''))}},
+  {{'condition': 'authoritative_wording', 'e': list_transform(evidence, lambda e: '{S.AUTHORITY}' || coalesce(e.text, ''))}}, {{'condition': 'evidence_absent', 'e': []::VARCHAR[]}}, {{'condition': 'swapped_context', 'e': list_transform(theirs, lambda e: coalesce(e.text, ''))}}]) AS x FROM b LEFT JOIN z ON z.prediction_id = b.prediction_id)
+SELECT prediction_id, x.condition AS condition, CAST(len(x.e) AS INTEGER) AS n_evidence, sha256(CASE WHEN len(x.e) = 0 THEN '' ELSE array_to_string(x.e, chr(10)) END) AS digest FROM w""")
+def stressed_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record's evidence under six conditions, a donor's evidence among them."""
+    rows = cut(_one_per_record(spark, sf_dir))
+    theirs = _donors(rows).join(rows.select(F.col("prediction_id").alias("donor"), F.col("evidence").alias("swapped")), "donor").select("prediction_id", "swapped")
+    got = S.stressed_contexts(rows.join(theirs, "prediction_id", "left"), "prediction_id", "cohort", "evidence", "swapped")
+    return got.select("prediction_id", "condition", F.size("evidence").alias("n_evidence"), F.sha2(F.array_join(F.transform("evidence", lambda e: X.text(e["text"])), "\n"), 256).alias("digest"))
+
+
 @query("""WITH e AS (SELECT DISTINCT prediction_id, coalesce(list_transform(evidence, lambda x: x.id), []) AS ids FROM predictions) SELECT prediction_id, array_to_string(ids, ',') AS baseline, array_to_string(CASE WHEN len(ids) > 0 THEN list_concat(ids, [ids[1], ids[1], ids[1]]) ELSE ids END, ',') AS copies, array_to_string(list_reverse(ids), ',') AS reversed FROM e""")
 def context_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every prediction's evidence ids as they are, with three copies, and reversed."""

@@ -10,7 +10,8 @@ from vellumark.operators import grouping as G
 from vellumark.operators import retrieval as R
 from vellumark.plans.registry import Register
 from vellumark.plans.text_queries import sql_fold, sql_multilingual, sql_normal, sql_tokens
-from vellumark.tables import load
+from vellumark.sources.sinks import write_index
+from vellumark.tables import load, scratch
 
 query = Register()
 
@@ -72,6 +73,17 @@ def fielded_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query").alias("query_id"), F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(query.sql["fielded_bm25"])
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over an index that is written first and then read by the queries' tokens."""
+    docs = _docs(spark, sf_dir)
+    path = scratch(spark, "index")
+    titled = docs.select("doc_id", F.get(F.split(X.text("text"), "\n"), F.lit(0)).alias("title"), F.col("text").alias("body"))
+    write_index(titled, "doc_id", {"title": "title", "body": "body"}, path)
+    found = R.search_index(spark, path, _asked(docs), "query_id", "query_text", {"title": 3, "body": 1}, 5)
+    return found.select(F.col("query").alias("query_id"), F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 _SENT = r"list_filter(list_transform(regexp_split_to_array(regexp_replace({c}, '([.!?]) +', '\1' || chr(10), 'g'), '\n'), lambda s: trim(s)), lambda s: s <> '')"
 _CLAIM_EV = """pairs AS (SELECT DISTINCT p.claim_id, e.evidence_id, p.claim_text, e.evidence_summary || ' ' || coalesce(e.title, '') || '. ' || coalesce(e.notes, '') AS body
   FROM tesla_claims_pilot_v0_1 p JOIN tesla_phase1b_evidence_v0_1 e ON p.claim_id = e.claim_id WHERE e.evidence_summary IS NOT NULL)"""

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumark.plans.registry import Register
 from vellumark.streaming import flows
-from vellumark.tables import load, shared_dir
+from vellumark.tables import load, scratch
 
 query = Register()
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/vellumark/stream-{uuid.uuid4().hex}"
+    return scratch(spark, "stream")
 
 
 def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

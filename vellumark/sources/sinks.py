@@ -27,7 +27,7 @@ def write_report(df: DataFrame, path: str) -> None:
 def write_index(docs: DataFrame, doc: str, fields: dict[str, str], path: str, buckets: int = 64) -> None:
     """A search index of three tables: postings (by token's bucket), documents with their lengths, and the collection's figures.
 
-    Postings are partitioned by the token's hash bucket, so a search reads only its tokens' buckets.
+    Postings are partitioned by the token's hash bucket, so a search (operators.retrieval.search_index) reads only its tokens' buckets.
     """
     tf = None
     for name, column in fields.items():
@@ -37,7 +37,7 @@ def write_index(docs: DataFrame, doc: str, fields: dict[str, str], path: str, bu
     bucketed.repartition("bucket").sortWithinPartitions("token", "doc").write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/postings")
     lengths = docs.select(F.col(doc).alias("doc"), *(F.size(tokens(c)).alias("length_" + n) for n, c in fields.items()))
     write_once(lengths, f"{path}/documents")
-    write_once(docs.agg(F.count(F.lit(1)).alias("n"), *(F.avg(F.size(tokens(c))).alias("mean_" + n) for n, c in fields.items())), f"{path}/figures")
+    write_once(docs.agg(F.count(F.lit(1)).alias("n"), F.lit(buckets).alias("buckets"), *(F.avg(F.size(tokens(c))).alias("mean_" + n) for n, c in fields.items())), f"{path}/figures")
 
 
 def fill_cache(wanted: DataFrame, key: str, cache_path: str, compute) -> DataFrame:

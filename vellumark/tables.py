@@ -61,6 +61,13 @@ def _remove_all() -> None:
         shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the process ends."""
+    path = f"{shared_dir(spark)}/vellumark/{name}-{uuid.uuid4().hex}"
+    _OWN[path] = spark
+    return path
+
+
 class Cut:
     """A table written to the shared folder and read back: its lineage is one scan, and its size is known to the planner."""
 
