@@ -76,6 +76,14 @@ def test_refusals_beyond_any_table():
     assert not refuses("The passage names the year. It fits the statement. I cannot help you.")  # only the head of an answer declines
 
 
+def test_refusals_however_long_the_first_sentences_are():
+    long = ", ".join(f"the register of Orla for {y}" for y in range(1800, 1960))
+    assert len(long) > 4000 and refuses(f"You name {long}. Still, I cannot help you with this statement.")
+    assert refuses(f"Having seen {long}, I'm unable to verify this claim.") and refuses(f"Zu {long} kann ich leider nichts sagen: dabei kann ich nicht helfen.")
+    assert refuses("Hello! Thank you. I cannot help you with this statement.") and refuses("Zum Verkauf vom 6.4.1911 und vom 8. Mai kann ich nichts sagen. Dabei kann ich nicht helfen.")
+    assert not refuses(f"The passage names {long}. It fits the statement. I cannot help you.") and not refuses(long)
+
+
 def test_a_response_alone_is_judged_as_among_others(spark):
     """A complete response without a full stop is no defect however few others there are; one that ends in an article is."""
     complete = ["The clerk moved the crane to Orla", "No other passage bears on it", "Holt signed it in 1903", "Das Register nennt den Kran"]

@@ -2,7 +2,8 @@
 
 Each language has classes of words (first person, modal, negation, verb of answering, ...). A clause becomes the string of its words'
 classes, words that only fill are left out, and an Aho–Corasick automaton of class patterns (first person, modal, negation, verb, in the orders
-that the language has) runs over it. Only the first sentences of an answer can decline the task.
+that the language has) runs over it. Only the first sentences of an answer can decline the task, however long they are; a greeting or a word of
+thanks is no sentence, and the point of a date, number or initial ends none.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ import functools
 import itertools
 import re
 
-#: Sentences from the beginning in which a task is declined.
-HEAD = 2
+#: Sentences from the beginning in which a task is declined; the words that one has at least.
+HEAD, LEAST_WORDS = 2, 3
 
 # Words by class. F first person, M modal or auxiliary, N negation, V verb of answering, W such a verb that needs an addressee or
 # object (O), A able or allowed, R verb of declining, P preference, E permitted (impersonal), D addressee of the permission (me), Q fitting,
@@ -69,6 +70,9 @@ PATTERNS = {
 }
 _TWO = {"language model": "@model", "modèle de langage": "@modèle", "modèle linguistique": "@modèle", "modelo de lenguaje": "@modelo", "modelo lingüístico": "@modelo", "modelo de linguagem": "@modelo", "языковая модель": "@модель"}
 _WORD = re.compile(r"@?[^\W_]+(?:-[^\W_]+)*|[.!?;:]+|,")
+# A stop that a sentence can end in: a blank, bracket or quotation mark comes after it, or nothing.
+_STOP = re.compile(r"[.!?]+(?=[\s)\]}\"'’”»]|$)")
+_WORD_BEFORE = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _SHORT = [(re.compile(a), b) for a, b in ((r"\bwon't\b", "will not"), (r"\bcan't\b", "can not"), (r"\bcannot\b", "can not"), (r"\bshan't\b", "shall not"), (r"n't\b", " not"), (r"\bi'm\b", "i am"), (r"'d\b", " would"), (r"'ll\b", " will"), (r"'ve\b", " have"), (r"'re\b", " are"))]
 
 
@@ -124,27 +128,34 @@ def _automaton(language: str):
     return auto
 
 
-def _head(text: str) -> list[str]:
-    """The words and stops of the first sentences, in lower case."""
+def _head(text: str) -> str:
+    """The first sentences of a text, whole; all of it if it has no more."""
+    ended = at = said = 0
+    for m in _STOP.finditer(text):
+        words = _WORD_BEFORE.findall(text, at, m.start())
+        at, said = m.end(), said + len(words)
+        if m.group() == "." and words and (len(words[-1]) == 1 or len(words[-1]) == 2 and words[-1].isdigit()):
+            continue  # the sentence goes on
+        ended += said >= LEAST_WORDS
+        said = 0
+        if ended == HEAD:
+            return text[: m.end()]
+    return text
+
+
+def _words(text: str) -> list[str]:
+    """The words and stops of a text, in lower case."""
     t = text.lower().replace("’", "'")
     for a, b in _SHORT:
         t = a.sub(b, t)
     for a, b in _TWO.items():
         t = t.replace(a, b)
-    out, ended = [], 0
-    for m in _WORD.finditer(t):
-        w = m.group()
-        if w[0] in ".!?":
-            ended += any(x[0].isalnum() for x in out)
-            if ended >= HEAD:
-                break
-        out.append(w)
-    return out
+    return _WORD.findall(t)
 
 
 def refuses(unquoted: str) -> bool:
     """Whether the text, quotations aside, declines the task in its first sentences."""
-    words = _head(unquoted[:2000])
+    words = _words(_head(unquoted))
     spoken = _languages()
     for language in sorted(set().union(*(spoken.get(w, ()) for w in words))):
         known, auto = _classes(language), _automaton(language)
