@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vellumark.llm.leaks import Index, Words, leaked, simhashes, weighted_similarity
@@ -34,6 +35,25 @@ def test_passages_cover_all_words():
     assert covered([(3, 5), (0, 2), (4, 8)]) == 7
 
 
+def test_what_is_sent_grows_with_the_claims():
+    """Copies of the passages are never more than the claims, and a claim goes only where a passage may stand in it."""
+    from vellumark.llm import overlap as m
+
+    for n in (1, 10, 100):
+        copies = m.copies_of_shards([500_000 * 2] * n, 150_000 * n, 6)
+        assert sum(copies) * 150_000 <= max(6, n) * 1_000_000
+    texts = pa.array([" ".join(f"{x}{i}" for i in range(20)) for x in "ab"])
+    runs = m.Runs(texts)
+    filled = np.zeros(64, np.uint64)
+    slot, mask = m.bits_of(runs.begins([(0, 2, 4), (0, 4, 9), (0, 19, 20)]), 64)
+    np.bitwise_or.at(filled, slot, mask)
+    hit = [(int(r), n) for n, (ok, h) in enumerate(zip(runs.whole, runs.hashes, strict=True), 1) for r in runs.row[ok & (filled[m.bits_of(h, 64)[0]] & m.bits_of(h, 64)[1] == m.bits_of(h, 64)[1])]]
+    assert {(0, 1), (0, 2), (0, 4)} <= set(hit) and len(hit) < 6
+    phrase = [*(f"p{i}" for i in range(4)), "rare", *(f"q{i}" for i in range(4)), "odd", "seldom", "strange"]
+    got = m.passages(phrase, {w: 5.0 for w in phrase if w[0] in "pq"}, 12.0, 0.8)
+    assert len(got) == 4 and all({"rare", "odd", "seldom", "strange"} & set(phrase[a:z]) for a, z in got)
+
+
 PREDICTIONS, SPLIT = "record_index long, claim string, cohort string", "train_indices array<long>, validation_indices array<long>"
 
 
