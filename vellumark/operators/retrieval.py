@@ -33,6 +33,8 @@ def saturated(tf: Column, length: Column, mean: Column, k1: float = K1, b: float
 
 #: Queries (of words, or vectors) sent to the executors at once, and documents scored together.
 QUERY_BLOCK, SCORED_TOGETHER = 2_000, 1_000
+#: Part of all pairs of a batch's documents and a block's queries from which a word shared by them is summed with others as a product of matrices.
+COMMON = 0.03
 
 
 class Postings:
@@ -65,28 +67,39 @@ class Postings:
         df = Cut(seen.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("total"))).df
         figures = df.where(F.col("token") == self.WHOLE).first()
         n, mean = (figures["df"], figures["total"] / figures["df"]) if figures else (0, 0.0)
-        weighed = Cut(asked.join(df, "token").select("query", "token", idf(F.lit(float(n)), F.col("df")).alias("idf"))).df
-        blocks = max(1, -(-asked.select("query").distinct().count() // QUERY_BLOCK))
-        schema = T.StructType([T.StructField("query", asked.schema["query"].dataType), T.StructField("doc", self.listed.schema["doc"].dataType), T.StructField("score", T.DoubleType())])
-        out = None
-        for b in range(blocks):
-            part = weighed if blocks == 1 else weighed.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
-            rows = part.collect()
-            ids = sorted({r["query"] for r in rows})
-            number = {q: i for i, q in enumerate(ids)}
-            lists: dict[str, tuple[list[int], float]] = {}
-            for r in rows:
-                lists.setdefault(r["token"], ([], r["idf"]))[0].append(number[r["query"]])
-            held = spark.sparkContext.broadcast((ids, {t: (np.array(q, np.int32), w) for t, (q, w) in lists.items()}))
-            got = self.listed.mapInArrow(_scorer(held, mean, k, asked.schema["query"].dataType), schema)
-            out = got if out is None else out.unionByName(got)
-        return top(out, ["query"], [F.desc("score"), F.asc("doc")], k)
+        weighed = asked.join(df, "token").select("query", "token", idf(F.lit(float(n)), F.col("df")).alias("idf"))
+        return best_of(self.listed, weighed, mean, k)
+
+
+def best_of(listed: DataFrame, weighed: DataFrame, mean: float, k: int) -> DataFrame:
+    """(query, doc, score, rank): the k documents of listed (doc, words; with fields also weights, length) that score best for each query.
+
+    weighed: (query, token, idf). The queries go to the executors in blocks of bounded size, every document passes by in Arrow batches.
+    """
+    spark, weighed = listed.sparkSession, Cut(weighed).df
+    kind = weighed.schema["query"].dataType
+    blocks = max(1, -(-weighed.select("query").distinct().count() // QUERY_BLOCK))
+    schema = T.StructType([T.StructField("query", kind), T.StructField("doc", listed.schema["doc"].dataType), T.StructField("score", T.DoubleType())])
+    out = None
+    for b in range(blocks):
+        part = weighed if blocks == 1 else weighed.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
+        rows = part.collect()
+        ids = sorted({r["query"] for r in rows})
+        number = {q: i for i, q in enumerate(ids)}
+        lists: dict[str, tuple[list[int], float]] = {}
+        for r in rows:
+            lists.setdefault(r["token"], ([], r["idf"]))[0].append(number[r["query"]])
+        held = spark.sparkContext.broadcast((ids, {t: (np.array(q, np.int32), w) for t, (q, w) in lists.items()}))
+        got = listed.mapInArrow(_scorer(held, mean, k, kind), schema)
+        out = got if out is None else out.unionByName(got)
+    return top(out, ["query"], [F.desc("score"), F.asc("doc")], k)
 
 
 def _scorer(held, mean: float, k: int, query_type: T.DataType):
-    """A map over Arrow batches (doc, words) to a task's k best (query, doc, score) of a block of queries.
+    """A map over Arrow batches (doc, words, or doc, words, weights, length) to a task's k best (query, doc, score) of a block of queries.
 
-    A batch's words are told apart once; each of them adds its weight to all its documents and queries at a time.
+    A batch's words are told apart once. What most documents and queries share is summed as one product of matrices (COMMON of all their pairs or
+    more); each other word adds its weight to all its documents and queries at a time.
     """
 
     def scores(batch: pa.RecordBatch, lists: dict, n: int) -> np.ndarray:
@@ -99,13 +112,24 @@ def _scorer(held, mean: float, k: int, query_type: T.DataType):
             return out
         codes, parent = encoded.indices.to_numpy(zero_copy_only=False), pc.list_parent_indices(words).to_numpy()
         keep = hit[codes]
-        pairs, tf = np.unique(codes[keep].astype(np.int64) * batch.num_rows + parent[keep], return_counts=True)
-        length = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        pairs, place, tf = np.unique(codes[keep].astype(np.int64) * batch.num_rows + parent[keep], return_inverse=True, return_counts=True)
+        length = pc.fill_null(pc.list_value_length(words) if batch.num_columns == 2 else batch.column(3), 0).to_numpy(zero_copy_only=False)
+        if batch.num_columns > 2:
+            tf = np.bincount(place, pc.list_flatten(batch.column(2)).to_numpy(zero_copy_only=False)[keep], len(pairs))
         doc = pairs % batch.num_rows
         base = K1 * (1 - B + B * length / mean) if mean else np.full(batch.num_rows, K1)
         weight = tf * (K1 + 1) / (tf + base[doc])
         word, starts = np.unique(pairs // batch.num_rows, return_index=True)
-        for w, a, z in zip(word, starts, [*starts[1:], len(pairs)], strict=True):
+        ends = np.append(starts[1:], len(pairs))
+        asked = np.array([len(lists[known[w]][0]) for w in word])
+        common = np.flatnonzero((ends - starts) * asked >= COMMON * batch.num_rows * n)
+        if len(common):
+            left, right = np.zeros((batch.num_rows, len(common))), np.zeros((len(common), n))
+            for i, c in enumerate(common):
+                queries, idf_ = lists[known[word[c]]]
+                left[doc[starts[c] : ends[c]], i], right[i, queries] = weight[starts[c] : ends[c]], idf_
+            out += left @ right
+        for w, a, z in zip(*(np.delete(x, common) for x in (word, starts, ends)), strict=True):
             queries, idf_ = lists[known[w]]
             out[doc[a:z, None], queries] += weight[a:z, None] * idf_
         return np.round(out, 9)
@@ -184,20 +208,16 @@ def rerank(candidates: DataFrame, query: str, keys: list[str], owner: str, sente
 
 def fielded_search(docs: DataFrame, doc: str, fields: dict[str, float], texts: dict[str, Column], queries: DataFrame, query: str, text: str, k: int) -> DataFrame:
     """(query, doc, score, rank): BM25 over several fields, each with its weight; a document's length is that of all fields together."""
-    parts = None
-    for name, weight in fields.items():
-        one = docs.select(F.col(doc).alias("doc"), tokens(texts[name]).alias("_w"), F.lit(float(weight)).alias("_weight"))
-        parts = one if parts is None else parts.unionByName(one)
-    lengths = parts.groupBy("doc").agg(F.sum(F.size("_w")).alias("length"))
-    figures = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
-    asked = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(tokens(text))).alias("token")).distinct()
-    tf = parts.select("doc", "_weight", F.explode("_w").alias("token")).groupBy("doc", "token").agg(F.sum("_weight").alias("tf"))
-    held = Cut(tf.join(asked.select("token").distinct(), "token", "left_semi").join(lengths, "doc")).df
-    df = held.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    words = {name: F.coalesce(tokens(texts[name]), F.array().cast("array<string>")) for name in fields}
+    each = docs.select(F.col(doc).alias("doc"), *(w.alias("_" + name) for name, w in words.items()))
+    weights = F.concat(*(F.array_repeat(F.lit(float(w)), F.size("_" + name)) for name, w in fields.items()))
+    listed = each.select("doc", F.concat(*("_" + name for name in fields)).alias("words"), weights.alias("weights")).withColumn("length", F.size("words"))
+    asked = Cut(queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(tokens(text))).alias("token")).where("query is not null").distinct()).df
+    figures = listed.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+    seen = listed.select(F.explode(F.array_distinct("words")).alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    df = seen.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     weighed = asked.join(df, "token").select("query", "token", idf(F.lit(float(figures["n"])), F.col("df")).alias("idf"))
-    scored = held.withColumn("part", saturated(F.col("tf"), F.col("length"), F.lit(figures["mean"])))
-    score = scored.join(weighed, "token").groupBy("query", "doc").agg(F.round(F.sum(F.col("idf") * F.col("part")), 9).alias("score"))
-    return top(score, ["query"], [F.desc("score"), F.asc("doc")], k)
+    return best_of(listed, weighed, figures["mean"] or 0.0, k)
 
 
 def search_index(spark: SparkSession, path: str, queries: DataFrame, query: str, text: str, weights: dict[str, float], k: int) -> DataFrame:
