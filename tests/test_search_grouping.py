@@ -19,11 +19,13 @@ def test_bm25_hand_value_and_ties(spark):
     assert got[0][0] == 0 and abs(got[0][1] - want) < 1e-8
 
 
-def test_fielded_and_indexed_search_shuffle_no_scored_pairs(spark):
+def test_fielded_and_indexed_search_shuffle_no_scored_pairs(spark, tmp_path):
     """Against brute force; what reaches the ranking is each task's k best, not all pairs of documents and queries."""
     import random
     from collections import Counter
 
+    from vellumark.sources.sinks import write_index
+
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choices("abcdefgh", k=rng.randrange(0, 3))), " ".join(rng.choices("abcdefghij", [9, 9, 5, 3, 1, 1, 1, 1, 1, 1], k=rng.randrange(0, 12))) or None) for i in range(60)]
     d = spark.createDataFrame(rows, "d int, title string, body string")
@@ -35,7 +37,8 @@ def test_fielded_and_indexed_search_shuffle_no_scored_pairs(spark):
     for i, t, b in rows[::7]:
         score = {j: round(sum(math.log(1 + (60 - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size[j] / mean)) for w in {*t.split(), *(b or "").split()}), 7) for j, c in tf.items()}
         want += [(i, j, s, r) for r, (j, s) in enumerate(sorted(((j, s) for j, s in score.items() if s), key=lambda x: (-x[1], x[0]))[:4], 1)]
-    for got in (R.fielded_search(d, "d", {"title": 3, "body": 1}, {"title": F.col("title"), "body": F.col("body")}, q, "q", "t", 4),):
+    write_index(d, "d", {"title": "title", "body": "body"}, f"{tmp_path}/i", 4)
+    for got in (R.fielded_search(d, "d", {"title": 3, "body": 1}, {"title": F.col("title"), "body": F.col("body")}, q, "q", "t", 4), R.search_index(spark, f"{tmp_path}/i", q, "q", "t", {"title": 3, "body": 1}, 4)):
         assert sorted((r["query"], r["doc"], round(r["score"], 7), r["rank"]) for r in got.collect()) == sorted(want)
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "Join" not in plan

@@ -221,8 +221,8 @@ def fielded_search(docs: DataFrame, doc: str, fields: dict[str, float], texts: d
 
 
 def search_index(spark: SparkSession, path: str, queries: DataFrame, query: str, text: str, weights: dict[str, float], k: int) -> DataFrame:
-    """(query, doc, score, rank): fielded_search over an index that sinks.write_index wrote: only the buckets of the queries' tokens are read, and
-    everything is joined and summed by built-in expressions. Fields without a weight don't count; an index of no documents finds nothing."""
+    """(query, doc, score, rank): fielded_search over an index that sinks.write_index wrote: only the buckets of the queries' tokens are read;
+    each document's postings of them are scored together against blocks of queries. Fields without a weight don't count; an index of no documents finds nothing."""
     figures = spark.read.parquet(f"{path}/figures").first()
     n, mean = figures["n"], sum(figures["mean_" + f] or 0.0 for f in weights)
     asked = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(tokens(text))).alias("token")).where("query is not null").distinct()
@@ -232,12 +232,12 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, query: str,
     postings = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(read) & F.col("field").isin(list(weights)))
     held = postings.join(asked.select("bucket", "token").distinct(), ["bucket", "token"], "left_semi").groupBy("doc", "token").agg(F.sum(F.col("tf") * weight[F.col("field")]).alias("tf"))
     lengths = spark.read.parquet(f"{path}/documents").select("doc", sum((F.col("length_" + f) for f in weights), F.lit(0)).alias("length"))
-    held = Cut(held.join(lengths, "doc")).df
-    df = held.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    # a document's postings come together, so that only its k best places leave a task and not every scored pair
+    listed = held.groupBy("doc").agg(F.collect_list(F.struct("token", "tf")).alias("x")).join(lengths, "doc").select("doc", F.col("x.token").alias("words"), F.col("x.tf").alias("weights"), "length")
+    listed = Cut(listed).df
+    df = listed.select(F.explode("words").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     weighed = asked.join(df, "token").select("query", "token", idf(F.lit(float(n)), F.col("df")).alias("idf"))
-    scored = held.withColumn("part", saturated(F.col("tf"), F.col("length"), F.lit(mean)))
-    score = scored.join(weighed, "token").groupBy("query", "doc").agg(F.round(F.sum(F.col("idf") * F.col("part")), 9).alias("score"))
-    return top(score, ["query"], [F.desc("score"), F.asc("doc")], k)
+    return best_of(listed, weighed, mean, k)
 
 
 def dot(a: Column, b: Column) -> Column:
